@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixture, ogg, packing, quality, toxicity, urls
+from . import chat, jaccard, mixture, ogg, packing, quality, toxicity, urls
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.taken(*mixture.mixed(docs)).drop("row")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.Join(k=4, percent=85))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER))
