@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixture, ogg, packing, quality, toxicity, urls
+from . import chat, jaccard, lines, mixture, ogg, packing, quality, substrings, toxicity, urls
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), jaccard.Join(k=4, percent=85))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER))
@@ -68,6 +72,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(numbered.join(labels, "number", "left"), RULES)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.examine(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
