@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
@@ -190,13 +190,28 @@ def _verified(percent: int):
     return run
 
 
-def _may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
-    """Length filter, and the positional one: before a common shingle and after it only so much can be shared."""
+def _may_link(percent: int, a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Length filter, and the positional one for two sets ``(n, rank, after)`` at a shingle that both have in their prefixes.
+
+    Shingles that no other prefix has are in no two prefixes, so places count without them: before the shingle
+    at most the lower ``rank`` is shared in prefixes, after it the lower ``after``.  All else that is shared lies
+    in the suffix of the set whose prefix ends first.
+    """
+    (na, ra, fa), (nb, rb, fb) = a, b
     length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    suffix = F.ceil(F.greatest(na, nb) * percent / 100) - 1
+    most = F.least(ra, rb) + 1 + F.least(fa, fb) + suffix
     return length & ((100 + percent) * most.cast("long") >= percent * (na + nb))
 
 
+def _placed(postings: DataFrame) -> DataFrame:
+    """Postings of shared shingles once per set, with the shared ones before (``rank``) and ``after`` in its prefix."""
+    own = Window.partitionBy("node")
+    rank = F.row_number().over(own.orderBy("pos", "token")) - 1
+    once = postings.repartition("node").distinct()
+    return once.select("token", "node", "n", rank.alias("rank"), (F.count(F.lit(1)).over(own).cast("int") - rank - 1).alias("after"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, cfg: Join) -> DataFrame:
     """Verify distinct ``pairs(a, b)``: first the suffix filter on partition counts, then whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("parts").alias("pa"))
@@ -222,17 +237,17 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
 
     postings = docs.select("text").mapInArrow(_prefixes(cfg, classes), "token long, node long, n int, pos int")
     common = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
-    groups = written(postings.join(common, "token").distinct(), "groups")
+    groups = written(_placed(postings.join(common, "token")), "groups")
 
     chosen = written(groups.select("node").distinct().join(nodes, "node").select(F.col("least").alias("doc_id")).filter("doc_id is not null").distinct(), "chosen")
     if chosen.count() <= cfg.broadcast_rows:
         chosen = F.broadcast(chosen)
     sets = written(docs.join(chosen, "doc_id").select("text").mapInArrow(_sets(cfg), "node long, parts array<int>, tokens binary").dropDuplicates(["node"]), "sets")
 
-    heads = groups.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("h"))
+    heads = groups.groupBy("token").agg(F.max(F.struct((F.col("rank") + F.col("after")).alias("shared"), "node", "n", "rank", "after")).alias("h"))
     tried = groups.join(heads, "token").filter(F.col("node") != F.col("h.node"))
-    tried = tried.filter(_may_link(cfg.percent, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
-    first = written(tried.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    tried = tried.filter(_may_link(cfg.percent, tuple(map(F.col, ("n", "rank", "after"))), tuple(map(F.col, ("h.n", "h.rank", "h.after")))))
+    first = written(tried.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct(), "pairs")
     links = _links(first, sets, cfg)
     roots = written(components(links), "roots")
 
@@ -243,9 +258,9 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     other = sides.select("token", F.col("root").alias("root2"), F.col("short").alias("short2"), F.col("long").alias("long2"))
     fit = (F.col("root") < F.col("root2")) & (100 * F.col("long") >= cfg.percent * F.col("short2")) & (100 * F.col("long2") >= cfg.percent * F.col("short"))
     facing = sides.join(other, "token").filter(fit).select("token", "root", "root2")
-    a = own.select("token", "root", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("pos").alias("oa"))
-    b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("pos").alias("ob"))
-    cross = facing.join(a, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, F.col("sa"), F.col("oa"), F.col("sb"), F.col("ob")))
+    a = own.select("token", "root", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("rank").alias("ra"), F.col("after").alias("ta"))
+    b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("rank").alias("rb"), F.col("after").alias("tb"))
+    cross = facing.join(a, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "ra", "ta"))), tuple(map(F.col, ("sb", "rb", "tb")))))
     second = cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_links(second, sets, cfg))
