@@ -31,6 +31,8 @@ from .common import small_batches, written
 from .text import shingle_hashes, word_hashes
 
 LAST = (1 << 63) - 1
+#: Windows that one anchor can represent, at most.
+BITS = 32
 
 
 @dataclass(frozen=True)
@@ -38,17 +40,17 @@ class Windows:
     """``window`` words are compared; an anchor has ``anchor`` words.
 
     ``hot``: documents from which on a passage belongs to the reference, ``hot_anchors``: its bound (most shared first),
-    ``shard``: words in an automaton; ``broadcast_anchors`` and ``broadcast_rows``: sizes up to which shared anchors and
-    removals are broadcast, beyond which they are joined.
+    ``shard``: words in an automaton; ``broadcast_anchors`` and ``broadcast_numbers``: sizes up to which shared anchors and
+    removed spans are broadcast, beyond which they are joined.
     """
 
     window: int = 13
     anchor: int = 5
     hot: int = 64
     hot_anchors: int = 2048
-    shard: int = 20_000
+    shard: int = 50_000
     broadcast_anchors: int = 4_000_000
-    broadcast_rows: int = 500_000
+    broadcast_numbers: int = 4_000_000
 
 
 @dataclass
@@ -196,20 +198,17 @@ def reference(docs: DataFrame, shared: DataFrame, cfg: Windows) -> list[Automato
     return [a.settle() for a in shards]
 
 
-def _bits(flags: np.ndarray) -> int:
-    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
-
-
 def _candidates(cfg: Windows, automata, known):
-    """``(doc_id, text[, anchors])`` to windows of shared anchors ``(anchor, doc_id, start, hashes, done)``.
+    """``(doc_id, text[, anchors])`` to the windows of shared anchors, a row for each occurrence of one.
 
-    ``done`` marks, bit by bit, windows that the reference already gives to a smaller document; those of a row with
-    ``hashes`` are still open.
+    ``(anchor, doc_id, start, done, open, hashes)``: bits count windows from ``start``; ``done`` ones have a smaller
+    document in the reference, the hashes of the ``open`` ones follow in order.
     """
+    names = ["anchor", "doc_id", "start", "done", "open", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = [a for a in automata.value if len(a.link) > 1]
-        sorted_ = known.value if known is not None else None
+        listed = known.value if known is not None else None
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             out: list[tuple] = []
@@ -219,33 +218,33 @@ def _candidates(cfg: Windows, automata, known):
                 if not len(value):
                     continue
                 cut = np.flatnonzero(np.r_[True, np.diff(place) != 0])
-                end = np.r_[cut[1:], len(value)]
+                size = np.diff(np.r_[cut, len(value)])
                 own = _signed(value[cut])
-                if sorted_ is None:
-                    is_shared = np.isin(own, np.asarray(row[2] or [], np.int64))
+                if listed is None:
+                    shared = np.isin(own, np.asarray(row[2] or [], np.int64))
                 else:
-                    at = np.minimum(np.searchsorted(sorted_, own), len(sorted_) - 1)
-                    is_shared = sorted_[at] == own if len(sorted_) else np.zeros(len(own), bool)
-                picked = np.flatnonzero(is_shared)
-                if not len(picked):
+                    shared = listed[np.minimum(np.searchsorted(listed, own), len(listed) - 1)] == own if len(listed) else np.zeros(len(own), bool)
+                if not shared.any():
                     continue
+                inside = np.repeat(shared, size)
                 gone = np.zeros(len(value), bool)
-                for run_ in np.split(picked, np.flatnonzero(np.diff(picked) > 1) + 1):
-                    a, b = cut[run_[0]], end[run_[-1]]
+                edges = np.flatnonzero(np.diff(np.r_[0, inside.view(np.int8), 0]))
+                for a, b in edges.reshape(-1, 2) if shards else ():
                     ints = _signed(words[a : b + cfg.window - 1]).tolist()
                     for s in shards:
                         gone[a:b] |= np.asarray(s.holders(ints, cfg.window)) < doc
-                full = shingle_hashes(words, cfg.window)
-                for c in picked:
-                    a, b = int(cut[c]), int(end[c])
-                    for s in range(a, b, 32):
-                        e = min(b, s + 32)
-                        open_ = ~gone[s:e]
-                        some = full[s:e][open_].tobytes() if open_.any() else None
-                        out.append((int(own[c]), doc, s, _bits(~open_), some, _bits(open_)))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
-            parts = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds, strict=True)], names=["anchor", "doc_id", "start", "done", "hashes", "open"])
+                cut, size, own = cut[shared], size[shared], own[shared]
+                first = np.cumsum(size) - size
+                bit = np.int64(1) << (np.arange(size.sum()) - np.repeat(first, size))
+                gone = gone[inside]
+                full = shingle_hashes(words, cfg.window)[inside][~gone]
+                left = np.add.reduceat(~gone, first, dtype=np.int64)
+                out.append((own, np.full(len(own), doc), cut, np.add.reduceat(bit * gone, first), np.add.reduceat(bit * ~gone, first), left, full))
+            if out:
+                own, docs, cut, done, open_, left, full = map(np.concatenate, zip(*out, strict=True))
+                ends = np.r_[0, np.cumsum(left * 8)].astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(left), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(full))])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (own, docs, cut.astype(np.int32), done, open_)), blobs], names=names)
 
     return run
 
@@ -268,12 +267,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lost[order] = least < d
         # back to bits of the row: the open ones, in order
         at = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-        bits = ((rows["open"].to_numpy()[:, None] >> np.arange(32)) & 1).astype(bool) if len(rows) else np.zeros((0, 32), bool)
-        number = np.cumsum(bits, 1) - 1
-        table = np.zeros((len(rows), 32), bool)
+        bits = ((rows["open"].to_numpy()[:, None] >> np.arange(BITS)) & 1).astype(bool)
+        table = np.zeros((len(rows), BITS), bool)
         table[owner[lost], at[lost]] = True
-        hit = bits & np.take_along_axis(table, np.maximum(number, 0), 1)
-        mask = (hit * (1 << np.arange(32, dtype=np.int64))).sum(1)
+        hit = bits & np.take_along_axis(table, np.maximum(np.cumsum(bits, 1) - 1, 0), 1)
+        mask = (hit * (np.int64(1) << np.arange(BITS))).sum(1)
         keep = mask > 0
         return pa.RecordBatch.from_arrays(
             [pa.array(rows["doc_id"].to_numpy()[keep]), pa.array(rows["start"].to_numpy()[keep].astype(np.int32)), pa.array(mask[keep])], names=["doc_id", "start", "done"]
@@ -292,8 +290,27 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved(rest)
 
 
+def _merged(window: int):
+    """``(doc_id, lost)``, window starts as ``start * 2^32 + bits``, to ``(doc_id, spans)``: begin, end, begin, end, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lost in batch.column(1):
+                packed = lost.values.to_numpy()
+                starts = ((packed >> 32)[:, None] + np.arange(BITS))[((packed[:, None] >> np.arange(BITS)) & 1).astype(bool)]
+                starts = np.unique(starts)
+                gap = np.flatnonzero(np.diff(starts) > window)
+                out.append(np.stack([starts[np.r_[0, gap + 1]], starts[np.r_[gap, -1]] + window], 1).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["_k", "spans"])
+
+    return run
+
+
 def removed_spans(docs: DataFrame, cfg: Windows = Windows()) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, starts)``: the window starts whose words go, for documents that have any."""
+    """``docs(doc_id, text)`` to ``(_k, spans)``: removed words by begin and end, for documents that have any; ``_k`` is the id, null as ``LAST``."""
+    if cfg.window - cfg.anchor >= BITS:
+        raise ValueError("an anchor must represent at most 32 windows")
     spark = docs.sparkSession
     small_batches(spark)
     pairs = docs.mapInArrow(_postings(cfg), "anchor long, doc_id long")
@@ -301,59 +318,43 @@ def removed_spans(docs: DataFrame, cfg: Windows = Windows()) -> DataFrame:
     shared = written(shared.filter("low < high").drop("high"), "shared")
     automata = spark.sparkContext.broadcast(reference(docs, shared, cfg))
     if shared.count() <= cfg.broadcast_anchors:
-        anchors = np.sort(shared.select("anchor").toPandas()["anchor"].to_numpy(np.int64))
+        anchors = np.sort(shared.select("anchor").toArrow()["anchor"].to_numpy())
         known, with_anchors = spark.sparkContext.broadcast(anchors), docs
     else:
         known = None
         own = docs.mapInArrow(_postings(cfg), "anchor long, doc_id long").join(shared.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        key = F.coalesce("doc_id", F.lit(LAST))
-        with_anchors = docs.withColumn("_k", key).join(own.withColumnRenamed("doc_id", "_k"), "_k").select("doc_id", "text", "anchors")
-    found = with_anchors.mapInArrow(_candidates(cfg, automata, known), "anchor long, doc_id long, start int, done long, hashes binary, open long")
+        with_anchors = docs.withColumn("_k", F.coalesce("doc_id", F.lit(LAST))).join(own.withColumnRenamed("doc_id", "_k"), "_k").select("doc_id", "text", "anchors")
+    found = with_anchors.mapInArrow(_candidates(cfg, automata, known), "anchor long, doc_id long, start int, done long, open long, hashes binary")
     found = written(found, "windows")
     # the reference has taken the hot anchors' windows out, all but those of their first documents
-    open_ = found.filter("hashes is not null").select("anchor", "doc_id", "start", "hashes", "open").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+    open_ = found.filter("open <> 0").select("anchor", "doc_id", "start", "hashes", "open").repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     late = open_.mapInArrow(_resolve, "doc_id long, start int, done long")
-    every = found.filter("done > 0").select("doc_id", "start", "done").unionByName(late)
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "done")).alias("lost"))
+    every = found.filter("done <> 0").select("doc_id", "start", "done").unionByName(late)
+    lost = every.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("done")).alias("lost"))
+    return lost.mapInArrow(_merged(cfg.window), "_k long, spans array<int>")
 
 
-def _rebuilt(window: int):
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part, out = batch.slice(i, 128), []
-                for doc, text, lost in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
-                    words = (text or "").encode("utf-8", "surrogatepass").split()
-                    n = len(words)
-                    if lost:
-                        masks = np.frombuffer(lost, np.int64).reshape(-1, 2)
-                        starts = (masks[:, :1] + np.arange(32))[((masks[:, 1:] >> np.arange(32)) & 1).astype(bool)]
-                        starts = np.unique(starts[starts <= n - window])
-                        edge = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + window, minlength=n + 1)[: n + 1]
-                        keep = np.flatnonzero(np.cumsum(edge)[:n] == 0)
-                        words = [words[k] for k in keep]
-                    kept = b" ".join(words)
-                    out.append((doc, n, n - len(words), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)], names=names)
-
-    return run
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    for batch in batches:
+        for i in range(0, batch.num_rows, 128):
+            part, out = batch.slice(i, 128), []
+            for doc, text, spans in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                n = len(words)
+                for a, b in list(zip(spans[::2], spans[1::2], strict=True))[::-1] if spans else ():
+                    del words[a:b]
+                kept = b" ".join(words)
+                out.append((doc, n, n - len(words), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)], names=names)
 
 
 def dedup_substrings(docs: DataFrame, cfg: Windows = Windows()) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_words, n_removed, kept, kept_sha256)``, a row per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = removed_spans(docs, cfg).select(F.col("doc_id").alias("_k"), "lost").mapInArrow(_packed, "_k long, lost binary")
-    spans = written(packed, "removed")
-    if spans.count() <= cfg.broadcast_rows:
+    spans = written(removed_spans(docs, cfg), "removed")
+    if spans.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0] <= cfg.broadcast_numbers:
         spans = F.broadcast(spans)
     out = docs.withColumn("_k", F.coalesce("doc_id", F.lit(LAST))).join(spans, "_k", "left")
-    return out.select("doc_id", "text", "lost").mapInArrow(_rebuilt(cfg.window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs = [np.array([(x["start"], x["done"]) for x in r], np.int64).tobytes() for r in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["_k", "lost"])
+    return out.select("doc_id", "text", "spans").mapInArrow(_rebuilt, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: Training = Training()) -> Model
     some = one.filter("label = 1").orderBy(*order).limit(cfg.toxic_documents).union(one.filter("label = 0").orderBy(*order).limit(cfg.clean_documents))
     some = written(some, "sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id")
-    rows = texts.select("doc_id", "text", "label").mapInArrow(_windows_of(cfg), "doc_id long, label int, words string").toPandas()  # bounded by cfg
+    rows = texts.select("doc_id", "text", "label").mapInArrow(_windows_of(cfg), "doc_id long, label int, words string").toArrow().to_pandas()  # bounded by cfg
     if rows["label"].nunique() < 2:
         return None
     rows = rows.sort_values(["doc_id", "words"], kind="stable").reset_index(drop=True)
