@@ -1 +1 @@
-
+"""Composable operators."""
