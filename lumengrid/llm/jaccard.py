@@ -239,16 +239,23 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     common = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
     groups = written(_placed(postings.join(common, "token")), "groups")
 
-    chosen = written(groups.select("node").distinct().join(nodes, "node").select(F.col("least").alias("doc_id")).filter("doc_id is not null").distinct(), "chosen")
-    if chosen.count() <= cfg.broadcast_rows:
-        chosen = F.broadcast(chosen)
-    sets = written(docs.join(chosen, "doc_id").select("text").mapInArrow(_sets(cfg), "node long, parts array<int>, tokens binary").dropDuplicates(["node"]), "sets")
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes in ``pairs``, once each."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        chosen = written(wanted.join(nodes, "node").select(F.col("least").alias("doc_id")).distinct(), "chosen")
+        few = chosen.count() <= cfg.broadcast_rows
+        same = docs["doc_id"].eqNullSafe(chosen["doc_id"])
+        texts = docs.join(F.broadcast(chosen) if few else chosen, same, "left_semi").select("text")
+        sets = written(texts.mapInArrow(_sets(cfg), "node long, parts array<int>, tokens binary"), "sets")
+        # only where ids repeat can a node come twice
+        twice = sets.groupBy("node").count().filter("count > 1")
+        return sets if twice.isEmpty() else written(sets.dropDuplicates(["node"]), "sets")
 
     heads = groups.groupBy("token").agg(F.max(F.struct((F.col("rank") + F.col("after")).alias("shared"), "node", "n", "rank", "after")).alias("h"))
     tried = groups.join(heads, "token").filter(F.col("node") != F.col("h.node"))
     tried = tried.filter(_may_link(cfg.percent, tuple(map(F.col, ("n", "rank", "after"))), tuple(map(F.col, ("h.n", "h.rank", "h.after")))))
     first = written(tried.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct(), "pairs")
-    links = _links(first, sets, cfg)
+    links = _links(first, fetched(first), cfg)
     roots = written(components(links), "roots")
 
     own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -263,7 +270,7 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     cross = facing.join(a, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "ra", "ta"))), tuple(map(F.col, ("sb", "rb", "tb")))))
     second = cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_links(second, sets, cfg))
+    links = links.unionByName(_links(second, fetched(second), cfg))
     roots = components(links)
 
     named = roots.join(nodes, "node")

@@ -81,7 +81,8 @@ def encode_units(rows: DataFrame, unit: str, features: list[str], y: str, log_ex
         x = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
         y_, off, f = pdf[y].to_numpy(float), pdf[log_exposure].to_numpy(float), pdf[fold].to_numpy()
         if len(np.unique(f)) < 3 or y_.std() == 0:
-            return pd.DataFrame({unit: [pdf[unit].iloc[0]], "n": [len(pdf)], "drop_reason": ["too few folds or constant response"]}).reindex(columns=columns)
+            none = dict.fromkeys(columns, [None]) | {unit: [pdf[unit].iloc[0]], "n": [len(pdf)], "drop_reason": ["too few folds or constant response"]}
+            return pd.DataFrame(none)
         ll, null, alpha = _fold_scores(x, y_, off, f, alphas)
         better = 0
         for k in range(permutations):
