@@ -190,26 +190,26 @@ def _verified(percent: int):
     return run
 
 
-def _may_link(percent: int, a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
-    """Length filter, and the positional one for two sets ``(n, rank, after)`` at a shingle that both have in their prefixes.
+def _may_link(percent: int, a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Length filter, and the positional one, for two sets ``(n, pos, after)`` at a shingle that may be the first they share.
 
-    Shingles that no other prefix has are in no two prefixes, so places count without them: before the shingle
-    at most the lower ``rank`` is shared in prefixes, after it the lower ``after``.  All else that is shared lies
-    in the suffix of the set whose prefix ends first.
+    From there on a set has ``n - pos`` shingles.  In prefixes only ``after`` more are shared with anyone, and all
+    else that is shared lies in the suffix of the set whose prefix ends first.  Sets over the
+    threshold pass at the first shingle they share, so dropping them at others loses nothing.
     """
-    (na, ra, fa), (nb, rb, fb) = a, b
+    (na, oa, fa), (nb, ob, fb) = a, b
     length = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
     suffix = F.ceil(F.greatest(na, nb) * percent / 100) - 1
-    most = F.least(ra, rb) + 1 + F.least(fa, fb) + suffix
+    most = F.least(1 + F.least(fa, fb) + suffix, na - oa, nb - ob)
     return length & ((100 + percent) * most.cast("long") >= percent * (na + nb))
 
 
 def _placed(postings: DataFrame) -> DataFrame:
-    """Postings of shared shingles once per set, with the shared ones before (``rank``) and ``after`` in its prefix."""
+    """Postings of shared shingles once per set, with how many its prefix has (``shared``) and how many of these come ``after``."""
     own = Window.partitionBy("node")
-    rank = F.row_number().over(own.orderBy("pos", "token")) - 1
+    shared = F.count(F.lit(1)).over(own).cast("int")
     once = postings.repartition("node").distinct()
-    return once.select("token", "node", "n", rank.alias("rank"), (F.count(F.lit(1)).over(own).cast("int") - rank - 1).alias("after"))
+    return once.select("token", "node", "n", "pos", shared.alias("shared"), (shared - F.row_number().over(own.orderBy("pos", "token"))).alias("after"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, cfg: Join) -> DataFrame:
@@ -251,9 +251,9 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
         twice = sets.groupBy("node").count().filter("count > 1")
         return sets if twice.isEmpty() else written(sets.dropDuplicates(["node"]), "sets")
 
-    heads = groups.groupBy("token").agg(F.max(F.struct((F.col("rank") + F.col("after")).alias("shared"), "node", "n", "rank", "after")).alias("h"))
+    heads = groups.groupBy("token").agg(F.max(F.struct("shared", "node", "n")).alias("h"))
     tried = groups.join(heads, "token").filter(F.col("node") != F.col("h.node"))
-    tried = tried.filter(_may_link(cfg.percent, tuple(map(F.col, ("n", "rank", "after"))), tuple(map(F.col, ("h.n", "h.rank", "h.after")))))
+    tried = tried.filter(100 * F.least("n", "h.n") >= cfg.percent * F.greatest("n", "h.n"))
     first = written(tried.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct(), "pairs")
     links = _links(first, fetched(first), cfg)
     roots = written(components(links), "roots")
@@ -261,13 +261,16 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     own = written(own.join(apart, "token"), "apart")
-    sides = own.groupBy("token", "root").agg(F.min("n").alias("short"), F.max("n").alias("long"))
-    other = sides.select("token", F.col("root").alias("root2"), F.col("short").alias("short2"), F.col("long").alias("long2"))
+    # by component first: the most that any of its sets could share from this shingle on
+    sides = own.groupBy("token", "root").agg(F.min("n").alias("short"), F.max("n").alias("long"), F.max("after").alias("after"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    other = sides.select("token", *(F.col(c).alias(c + "2") for c in ("root", "short", "long", "after", "left")))
     fit = (F.col("root") < F.col("root2")) & (100 * F.col("long") >= cfg.percent * F.col("short2")) & (100 * F.col("long2") >= cfg.percent * F.col("short"))
+    most = F.least(F.least("after", "after2") + F.ceil(F.greatest("long", "long2") * cfg.percent / 100), "left", "left2")
+    fit &= (100 + cfg.percent) * most.cast("long") >= cfg.percent * (F.col("short") + F.col("short2"))
     facing = sides.join(other, "token").filter(fit).select("token", "root", "root2")
-    a = own.select("token", "root", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("rank").alias("ra"), F.col("after").alias("ta"))
-    b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("rank").alias("rb"), F.col("after").alias("tb"))
-    cross = facing.join(a, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "ra", "ta"))), tuple(map(F.col, ("sb", "rb", "tb")))))
+    a = own.select("token", "root", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("pos").alias("oa"), F.col("after").alias("fa"))
+    b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("pos").alias("ob"), F.col("after").alias("fb"))
+    cross = facing.join(a, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "oa", "fa"))), tuple(map(F.col, ("sb", "ob", "fb")))))
     second = cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_links(second, fetched(second), cfg))
