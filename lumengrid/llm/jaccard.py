@@ -212,16 +212,22 @@ def _placed(postings: DataFrame) -> DataFrame:
     return once.select("token", "node", "n", "pos", shared.alias("shared"), (shared - F.row_number().over(own.orderBy("pos", "token"))).alias("after"))
 
 
+def _checked(table: DataFrame, cfg: Join) -> DataFrame:
+    """A written table of a few numbers a row, broadcast when it has at most ``broadcast_rows`` rows, else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= cfg.broadcast_rows else table
+
+
 def _links(pairs: DataFrame, sets: DataFrame, cfg: Join) -> DataFrame:
     """Verify distinct ``pairs(a, b)``: first the suffix filter on partition counts, then whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("parts").alias("pa"))
     right = sets.select(F.col("node").alias("b"), F.col("parts").alias("pb"))
     most = "aggregate(zip_with(pa, pb, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
     size = "aggregate(pa, 0L, (s, x) -> s + x) + aggregate(pb, 0L, (s, x) -> s + x)"
-    close = pairs.join(left, "a").join(right, "b").filter(F.expr(f"{100 + cfg.percent} * {most} >= {cfg.percent} * ({size})")).select("a", "b")
+    close = left.join(_checked(pairs, cfg), "a").join(right, "b").filter(F.expr(f"{100 + cfg.percent} * {most} >= {cfg.percent} * ({size})")).select("a", "b")
+    close = _checked(written(close, "close"), cfg)
     ta = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     tb = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    full = close.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
+    full = tb.join(close, "b").join(ta, "a").select("a", "b", "ta", "tb")
     return written(full.mapInArrow(_verified(cfg.percent), "a long, b long"), "verified")
 
 
@@ -258,7 +264,7 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     links = _links(first, fetched(first), cfg)
     roots = written(components(links), "roots")
 
-    own = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = groups.join(_checked(roots, cfg), "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     own = written(own.join(apart, "token"), "apart")
     # by component first: the most that any of its sets could share from this shingle on
@@ -267,10 +273,10 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     fit = (F.col("root") < F.col("root2")) & (100 * F.col("long") >= cfg.percent * F.col("short2")) & (100 * F.col("long2") >= cfg.percent * F.col("short"))
     most = F.least(F.least("after", "after2") + F.ceil(F.greatest("long", "long2") * cfg.percent / 100), "left", "left2")
     fit &= (100 + cfg.percent) * most.cast("long") >= cfg.percent * (F.col("short") + F.col("short2"))
-    facing = sides.join(other, "token").filter(fit).select("token", "root", "root2")
+    facing = _checked(written(sides.join(other, "token").filter(fit).select("token", "root", "root2"), "facing"), cfg)
     a = own.select("token", "root", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("pos").alias("oa"), F.col("after").alias("fa"))
     b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("pos").alias("ob"), F.col("after").alias("fb"))
-    cross = facing.join(a, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "oa", "fa"))), tuple(map(F.col, ("sb", "ob", "fb")))))
+    cross = a.join(facing, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "oa", "fa"))), tuple(map(F.col, ("sb", "ob", "fb")))))
     second = cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_links(second, fetched(second), cfg))

@@ -85,5 +85,20 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_ESCAPED = "replace(replace(replace(coalesce({0}, ''), chr(92), chr(92) || chr(92)), '#', chr(92) || '#'), '</turn>', '<' || chr(92) || '/turn>')"
+_OP2 = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' union all select -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok')
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+ sum(4 + length(replace({_ESCAPED.format('role')}, ': ', ':' || chr(92) || ' ')) + 2 + length({_ESCAPED.format('text')}) + 8)::bigint as formatted_chars from t group by conv_id"""
+
+_OP5 = """with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+ s as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+ m as (select k, min(doc_id) as d from s group by k), g as (select distinct doc_id, i + j as p from s join m using (k), range(13) r(j) where m.d < s.doc_id),
+ e as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from w),
+ kept as (select e.doc_id, count(g.p) as n_removed, string_agg(e.x, ' ' order by e.p) filter (where g.p is null) as t from e left join g on g.doc_id = e.doc_id and g.p = e.p group by 1)
+ select w.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": _OP2, "op5_substring_dedup": _OP5}

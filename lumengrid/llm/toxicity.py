@@ -37,9 +37,9 @@ class Training:
     ``calm`` keeps the moves of n-grams with little evidence small; ``least``: documents that an n-gram must have.
     """
 
-    toxic_documents: int = 800
-    clean_documents: int = 2000
-    windows: int = 48
+    toxic_documents: int = 450
+    clean_documents: int = 900
+    windows: int = 128
     window: int = 3
     buckets: int = 1 << 17
     dimensions: int = 4
@@ -145,10 +145,11 @@ def train(windows: list[str], label: np.ndarray, doc: np.ndarray, share: float,
     row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     _, number = np.unique(doc, return_inverse=True)
     held = np.bincount(np.unique(flat * (number.max() + 1) + number[row]) // (number.max() + 1), minlength=len(index))
-    bags = [grams(w, cfg.buckets) for w in index]
+    bags = [np.asarray(grams(w, cfg.buckets), np.int32) for w in index]
     owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    gram = np.fromiter((g for b in bags for g in b), np.int64, len(owner))
-    per_word = np.maximum(1.0, np.bincount(owner, minlength=len(bags)))
+    gram, n_words = np.concatenate([*bags, np.zeros(0, np.int32)]).astype(np.int64), len(bags)
+    del bags
+    per_word = np.maximum(1.0, np.bincount(owner, minlength=n_words))
     common = np.bincount(gram, held[owner], cfg.buckets) >= cfg.least
     owner, gram = owner[common[gram]], gram[common[gram]]
     used, gram = np.unique(gram, return_inverse=True)
@@ -192,7 +193,7 @@ def train(windows: list[str], label: np.ndarray, doc: np.ndarray, share: float,
                 q -= cfg.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + cfg.calm)
         weights = np.zeros(cfg.buckets)
         weights[used] = params[0] @ (params[1][:, 1] - params[1][:, 0])
-        value = np.bincount(owner, weights[used][gram], len(bags)) / per_word
+        value = np.bincount(owner, weights[used][gram], n_words) / per_word
         logit = np.bincount(row, value[flat], len(ids)) / np.maximum(1.0, np.bincount(row, minlength=len(ids)))
         rows = worst(logit, 2)
     model = Model(weights, float(params[2][1] - params[2][0]), (1.0, 0.0), cfg.window, cfg.memo)
@@ -200,6 +201,7 @@ def train(windows: list[str], label: np.ndarray, doc: np.ndarray, share: float,
     starts = np.flatnonzero(np.r_[True, np.diff(number[order]) != 0])
     texts = [" ".join(windows[i] for i in order[a:b]) for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
     model.curve = _logistic(np.array([model.logit(x) for x in texts]), label[order][starts], share)
+    model.known.clear()
     return model
 
 
