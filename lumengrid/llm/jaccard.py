@@ -225,7 +225,8 @@ def _links(pairs: DataFrame, sets: DataFrame, cfg: Join) -> DataFrame:
     size = "aggregate(pa, 0L, (s, x) -> s + x) + aggregate(pb, 0L, (s, x) -> s + x)"
     close = left.join(_checked(pairs, cfg), "a").join(right, "b").filter(F.expr(f"{100 + cfg.percent} * {most} >= {cfg.percent} * ({size})")).select("a", "b")
     close = _checked(written(close, "close"), cfg)
-    ta = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+    # only sets that a pair still needs are shuffled
+    ta = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")).join(close, "a", "left_semi")
     tb = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     full = tb.join(close, "b").join(ta, "a").select("a", "b", "ta", "tb")
     return written(full.mapInArrow(_verified(cfg.percent), "a long, b long"), "verified")
