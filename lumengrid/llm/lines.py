@@ -7,9 +7,11 @@ lines on and names the pair, until no bucket has two members.  Only
 positions whose line repeats take part at all, and bucket minima combine before
 the shuffle, so a line in a third of all documents is no hot group.
 
-A run of lines is deleted when it has ``2^k`` lines for some k, at least
-``min_words`` words, and a copy that starts earlier in the order of ``doc_id``,
-text hash and line.  Any longer repeated run is the union of two such stretches.
+A run of lines, of any length, is deleted when it has at least ``min_words`` words and a
+copy that starts earlier in the order of ``doc_id``, text hash and line.  Such a run is the
+union of the shortest stretches with ``min_words`` words that start or end at its
+lines: those of ``2^k`` lines are named at depth ``2^k``, the others by the two
+overlapping stretches of ``2^k`` lines that cover them.
 
 Defined results: null texts have no lines and stay null; lines without words are never deleted;
 rows equal in ``doc_id`` and text are one document and share their result; a
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import word_count, written
@@ -40,6 +42,36 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """The shortest stretches with ``min_words`` words that start, or end, at each of ``lines``, where these are not ``2^k`` lines.
+
+    A stretch from a line has just the lines that begin fewer than ``min_words`` words after it, so a window over
+    running word counts finds it; stretches that leave ``lines`` have a gap in their line numbers.
+    """
+    text, most = Window.partitionBy("doc_id", "key"), min_words - 1
+    ends = F.sum("words").over(text.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    counted = lines.select("doc_id", "key", "i", "words", ends.alias("end")).withColumn("begin", F.col("end") - F.col("words"))
+    found = None
+    for frame in (text.orderBy("begin").rangeBetween(0, most), text.orderBy("end").rangeBetween(-most, 0)):
+        own = counted.select("doc_id", "key", F.min("i").over(frame).alias("start"), F.max("i").over(frame).alias("stop"), F.count(F.lit(1)).over(frame).alias("length"), F.sum("words").over(frame).alias("words"))
+        own = own.filter((F.col("stop") - F.col("start") + 1 == F.col("length")) & (F.col("words") >= min_words) & (F.col("length").bitwiseAND(F.col("length") - 1) != 0))
+        own = own.select("doc_id", "key", "start", F.col("length").cast("int").alias("length"))
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
+
+
+def _covered(level: DataFrame, stretches: DataFrame, k: int) -> DataFrame:
+    """Of the ``stretches`` between ``2^k`` and ``2^(k+1)`` lines those that start earlier too, with the first start."""
+    own = stretches.filter((F.col("length") > 1 << k) & (F.col("length") < 2 << k))
+    for n, offset in enumerate((F.lit(0), F.col("length") - (1 << k))):
+        half = level.select(F.col("doc_id").alias("d"), F.col("key").alias("e"), F.col("i").alias("j"), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+        at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("e")) & (F.col("start") + offset == F.col("j"))
+        own = own.join(half, at).drop("d", "e", "j")
+    name, place = ["length", "x0", "y0", "x1", "y1"], F.struct("doc_id", "key", F.col("start").alias("i"))
+    firsts = own.groupBy(*name).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last or (first is null) <> (last is null)")
+    return own.join(firsts.drop("last"), name).filter(F.col("first") < place).select("doc_id", "key", "start", "length", "first")
+
+
 def repeated_runs(docs: DataFrame, cfg: Runs = Runs()) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, key, start, length, first)``: stretches, by line number among lines with words,
     that start earlier too, at ``first``."""
@@ -53,10 +85,13 @@ def repeated_runs(docs: DataFrame, cfg: Runs = Runs()) -> DataFrame:
         return level.join(names.drop("last"), ["x", "y"]).distinct()
 
     level, k, found = written(repeated(lines), "level"), 0, None
+    stretches = written(_stretches(level, cfg.min_words), "stretches")
     while not level.isEmpty():
         later = level.filter((F.col("words") >= cfg.min_words) & (F.col("first") < F.struct("doc_id", "key", "i")))
         later = later.select("doc_id", "key", F.col("i").alias("start"), F.lit(1 << k).alias("length"), "first")
         found = later if found is None else found.unionByName(later)
+        if 0 < k and (1 << k) < cfg.min_words:
+            found = found.unionByName(_covered(level, stretches, k))
         on = level.select(F.col("doc_id").alias("d"), F.col("key").alias("e"), (F.col("i") - (1 << k)).alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("words").alias("words2"))
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("e")) & (F.col("i") == F.col("j"))
         pairs = level.join(on, same).select("doc_id", "key", "i", F.xxhash64("x", "x2").alias("x"), F.xxhash64("y", "y2", F.lit(2)).alias("y"), (F.col("words") + F.col("words2")).alias("words"))

@@ -65,11 +65,14 @@ def classes(docs, k, percent):
 
 
 def line_dedup(docs, min_words):
-    """(doc_id, kept text) with runs of 1, 2, 4, ... lines that occurred before removed; documents in order of id."""
+    """(doc_id, kept text) with runs of lines that occurred before removed; documents in order of id.
+
+    A line with a word has one at least, so longer runs are unions of runs of ``min_words`` lines.
+    """
     seen = {}
     parts = {i: [x for x in t.split("\n") if words(x)] for i, t in docs if t is not None}
     order = sorted(parts)
-    lengths = [1 << k for k in range(12)]
+    lengths = range(1, min_words + 1)
     for i in order:
         for n in lengths:
             for s in range(len(parts[i]) - n + 1):

@@ -86,6 +86,17 @@ def test_line_dedup_equals_brute_force(spark, documents, few):
     assert rows(got) == sorted(brute.line_dedup(docs, few.min_words), key=repr)
 
 
+def test_line_dedup_finds_runs_of_any_length(spark):
+    short = [f"seven words in this line number {n}" for n in range(7)]
+    mixed = ["one", "two words", "now three words", "and these are four", "x", "a b c d e f g", "h i"]
+    docs = [(1, "\n".join(short)), (2, "\n".join(["own start", *short[:3], "own end"])), (3, "\n".join(mixed)), (4, "\n".join(["other", *mixed[1:6], "", *mixed])), (5, "\n".join(short[1:3]))]
+    docs += [(6, "\n".join(["p q r s t u v w", *mixed, *mixed[:4], *mixed]))]
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "kept")
+    assert rows(got) == sorted(brute.line_dedup(docs, 16), key=repr)
+    kept = dict(got.collect())
+    assert kept[2] == "own start\nown end" and kept[5] == docs[4][1]
+
+
 def test_mixture_targets_and_draws(spark):
     docs = [(i, f"s{i % 4}" if i % 5 else None, "w " * (1 + i % 90)) for i in range(400)] + [(1000, "zero", None), (1001, "zero", "")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string")
