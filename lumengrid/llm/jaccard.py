@@ -269,12 +269,15 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     own = written(own.join(apart, "token"), "apart")
     # by component first: the most that any of its sets could share from this shingle on
-    sides = own.groupBy("token", "root").agg(F.min("n").alias("short"), F.max("n").alias("long"), F.max("after").alias("after"), F.max(F.col("n") - F.col("pos")).alias("left"))
-    other = sides.select("token", *(F.col(c).alias(c + "2") for c in ("root", "short", "long", "after", "left")))
+    sides = own.groupBy("token", "root").agg(F.min("n").alias("short"), F.max("n").alias("long"), F.max("after").alias("after"), F.max(F.col("n") - F.col("pos")).alias("left"), F.count(F.lit(1)).alias("nodes"))
+    other = sides.select("token", *(F.col(c).alias(c + "2") for c in ("root", "short", "long", "after", "left", "nodes")))
     fit = (F.col("root") < F.col("root2")) & (100 * F.col("long") >= cfg.percent * F.col("short2")) & (100 * F.col("long2") >= cfg.percent * F.col("short"))
     most = F.least(F.least("after", "after2") + F.ceil(F.greatest("long", "long2") * cfg.percent / 100), "left", "left2")
     fit &= (100 + cfg.percent) * most.cast("long") >= cfg.percent * (F.col("short") + F.col("short2"))
-    facing = _checked(written(sides.join(other, "token").filter(fit).select("token", "root", "root2"), "facing"), cfg)
+    # the component with fewer sets at the shingle first, so that a large one is only met where the pair itself is tested
+    small = F.col("nodes") <= F.col("nodes2")
+    facing = sides.join(other, "token").filter(fit).select("token", F.when(small, F.col("root")).otherwise(F.col("root2")).alias("root"), F.when(small, F.col("root2")).otherwise(F.col("root")).alias("root2"))
+    facing = _checked(written(facing, "facing"), cfg)
     a = own.select("token", "root", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("pos").alias("oa"), F.col("after").alias("fa"))
     b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("pos").alias("ob"), F.col("after").alias("fb"))
     cross = a.join(facing, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "oa", "fa"))), tuple(map(F.col, ("sb", "ob", "fb")))))
