@@ -13,6 +13,7 @@ separate pieces; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,7 +47,11 @@ class WordEncoder:
         self.parts: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: bytes) -> bytes:
         if len(self.words) > MEMO:
@@ -63,7 +68,7 @@ class WordEncoder:
         if found is None:
             if len(self.parts) > MEMO:
                 self.parts.clear()
-            found = self.parts[part] = np.asarray([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+            found = self.parts[part] = self.packed([t.id for t in self.tokenizer.model.tokenize(part)])
         return found
 
     def text(self, text: str) -> bytes:
