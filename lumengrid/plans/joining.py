@@ -134,6 +134,18 @@ def j14_pairs_in_cluster(spark, d):
     return pairs.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("cd"), 4).alias("mean_distance"))
 
 
+@query("select a.label, count(*) as pairs, round(avg(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 4) as mean_distance from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id group by a.label")
+def j14_all_pairs_in_cluster(spark, d):
+    """All pairs inside each cluster; their mean distance from one sum of unit vectors, as no pair need be made (``vec_id`` is a key)."""
+    e = table(spark, d, "embeddings").filter("vec_id is not null and label is not null").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(norm > 0, 1)).alias("m"))
+    sums = e.filter(norm > 0).select("label", F.posexplode(F.transform("v", lambda x: x / norm)).alias("k", "x")).groupBy("label", "k").agg(F.sum("x").alias("x"))
+    total = sums.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    cosine = (F.col("square") - F.col("m")) / F.expr("nullif(m * (m - 1), 0)")
+    return n.filter("n > 1").join(total, "label", "left").select("label", F.expr("n * (n - 1) div 2").alias("pairs"), F.round(1 - cosine, 4).alias("mean_distance"))
+
+
 @query("select c_custkey, c_acctbal from customer where c_custkey not in (select c_custkey from customer where c_custkey % 3 = 0) union all select c_custkey, 0.0 from customer where c_custkey % 3 = 0")
 def j15_upsert(spark, d):
     """Rows of matching keys replaced."""

@@ -16,3 +16,10 @@ def test_entry_and_registry_import(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pairs_in_cluster_take_every_vector(spark, tmp_path):
+    spark.range(600).selectExpr("id as vec_id", "int(id % 3) as label", "array(1f, float(id >= 200), float(id % 7)) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    name = "j14_all_pairs_in_cluster"
+    assert differences(spark, connection(str(tmp_path)), name, registry.queries()[name], registry.oracle_sql()[name], str(tmp_path)) == ""
+    assert {r.pairs for r in registry.queries()[name](spark, str(tmp_path)).collect()} == {200 * 199 // 2}
