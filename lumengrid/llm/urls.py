@@ -1,9 +1,11 @@
 """URL filters: host and path rules, then templates of a path tree.
 
 Per host, paths form a tree of segments.  Segments that vary (numbers, hashes,
-or more siblings than ``branches``) become wildcards, siblings whose labels do
-not differ significantly are merged, and a merged branch is rejected when its
-smoothed share of good labels is low.
+or more siblings than ``branches``) become wildcards.  From the root on, the
+children of a node whose labels (of all pages below them) do not differ
+significantly are merged, and the next level goes on with the merged nodes; the
+names of a merged node are joined with ``//``, which no path has.  A template is
+rejected when its smoothed share of good labels is low.
 
 Paths are first reduced to shapes and counted, so that a host with a third of
 all pages is a handful of rows from then on.
@@ -61,34 +63,45 @@ def shape(path: Column) -> Column:
     return F.transform(parts, lambda s: F.regexp_replace(s, r"^(?:[^.]*\d[^.]*|[0-9a-fA-F-]{16,})(\.[A-Za-z]{1,5})?$", "*"))
 
 
+def _merged(named: DataFrame, prior: float, cfg: Templates) -> DataFrame:
+    """``(host, node, last, child)`` of one level to the ``name`` of the group that a child is merged into.
+
+    Children that end a path and children that lead on are compared among their own kind.
+    """
+    kids = named.groupBy("host", "node", "last", "child").agg(F.sum("good").alias("good"), F.sum("seen").alias("seen"))
+    weight = F.col("seen") + cfg.strength
+    kids = kids.withColumn("share", (F.col("good") + cfg.strength * prior) / weight).withColumn("weight", weight)
+    siblings = Window.partitionBy("host", "node", "last").orderBy("share", "child")
+    last_share, last_weight = F.lag("share").over(siblings), F.lag("weight").over(siblings)
+    error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("weight") + last_share * (1 - last_share) / last_weight)
+    kids = kids.withColumn("new", F.coalesce((F.col("share") - last_share > cfg.z * error).cast("int"), F.lit(0)))
+    kids = kids.withColumn("group", F.sum("new").over(siblings))
+    names = F.sort_array(F.collect_list("child").over(Window.partitionBy("host", "node", "last", "group")))
+    return kids.select("host", "node", "last", "child", F.concat(F.lit("/"), F.array_join(names, "//")).alias("name"))
+
+
 def templates(pages: DataFrame, cfg: Templates = Templates()) -> DataFrame:
     """``pages(host, shape, good)`` (``good`` 1, 0 or null) to ``(host, shape, template, purity, reject)`` per shape."""
     good, seen = F.sum(F.col("good").cast("double")), F.count("good")
-    leaf = written(pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.coalesce(good, F.lit(0.0)).alias("good"), seen.alias("seen")), "shapes")
-    tree = leaf.withColumn("parent", F.lit("")).withColumn("node", F.lit(""))
+    leaf = written(pages.groupBy("host", "shape").agg(F.coalesce(good, F.lit(0.0)).alias("good"), seen.alias("seen")), "shapes")
+    prior = leaf.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("seen"), F.lit(0)) + 2)).first()[0]  # one number
+    key = ["host", "node", "last", "child"]
+    done = leaf.filter(F.size("shape") == 0).select("host", "shape", "good", "seen", F.lit("").alias("template"))
+    tree = leaf.filter(F.size("shape") > 0).withColumn("node", F.lit(""))
     for k in range(cfg.depth):
-        seg = F.coalesce(F.get("shape", F.lit(k)), F.lit(""))
-        tree = tree.withColumn("seg", seg)
-        wide = tree.groupBy("host", "node").agg((F.count_distinct("seg") > cfg.branches).alias("wide"))
-        tree = tree.join(wide, ["host", "node"])
-        step = F.when(F.col("seg") == "", F.lit("")).when(F.col("wide"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg")))
-        tree = tree.withColumn("parent", F.when(step == "", F.col("parent")).otherwise(F.col("node"))).withColumn("node", F.concat("node", step)).drop("seg", "wide")
-    tree = tree.withColumn("node", F.when(F.size("shape") > cfg.depth, F.concat("node", F.lit("/**"))).otherwise(F.col("node")))
-
-    every = leaf.agg(((F.sum("good") + 1) / (F.sum("seen") + 2)).alias("prior"))
-    branch = tree.groupBy("host", "parent", "node").agg(F.sum("good").alias("good"), F.sum("seen").alias("seen")).crossJoin(F.broadcast(every))  # one row
-    smooth = (F.col("good") + cfg.strength * F.col("prior")) / (F.col("seen") + cfg.strength)
-    branch = branch.withColumn("share", smooth).withColumn("weight", F.col("seen") + cfg.strength)
-    siblings = Window.partitionBy("host", "parent").orderBy("share", "node")
-    last_share, last_weight = F.lag("share").over(siblings), F.lag("weight").over(siblings)
-    error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("weight") + last_share * (1 - last_share) / last_weight)
-    branch = branch.withColumn("new", F.coalesce((F.col("share") - last_share > cfg.z * error).cast("int"), F.lit(0)))
-    branch = branch.withColumn("group", F.sum("new").over(siblings))
-    merged = Window.partitionBy("host", "parent", "group")
-    purity = (F.sum("good").over(merged) + cfg.strength * F.col("prior")) / (F.sum("seen").over(merged) + cfg.strength)
-    judged = branch.select("host", "parent", "node", purity.alias("purity"))
-    out = tree.select("host", "shape", "parent", "node").join(judged, ["host", "parent", "node"])
-    return out.select("host", "shape", F.col("node").alias("template"), "purity", (F.col("purity") < cfg.reject).alias("reject"))
+        step = tree.withColumn("child", F.get("shape", F.lit(k))).withColumn("last", F.size("shape") == k + 1)
+        wide = step.groupBy("host", "node").agg((F.count_distinct("child") > cfg.branches).alias("wide"))
+        named = written(step.join(wide, ["host", "node"]).withColumn("child", F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child"))).drop("wide"), "level")
+        level = named.join(_merged(named, prior, cfg), key).withColumn("node", F.concat("node", "name"))
+        level = written(level.select("host", "shape", "good", "seen", "node", "last"), "level")
+        done = done.unionByName(level.filter("last").select("host", "shape", "good", "seen", F.col("node").alias("template")))
+        tree = level.filter("not last").drop("last")
+    done = done.unionByName(tree.select("host", "shape", "good", "seen", F.concat("node", F.lit("/**")).alias("template")))
+
+    purity = (F.sum("good") + cfg.strength * prior) / (F.sum("seen") + cfg.strength)
+    judged = done.groupBy("host", "template").agg(purity.alias("purity"))
+    out = done.select("host", "shape", "template").join(judged, ["host", "template"])
+    return out.select("host", "shape", "template", "purity", (F.col("purity") < cfg.reject).alias("reject"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], cfg: Templates = Templates()) -> DataFrame:

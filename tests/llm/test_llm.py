@@ -206,6 +206,18 @@ def test_url_rules_and_templates(spark):
     assert got[101].verdict == "block" and got[100].verdict == "allow" and got[101].template == "/spam/*"
 
 
+def test_url_inner_branches_merge(spark):
+    pages = [(f"http://m.net/{s}/{i}", int(s != "c")) for s in "abc" for i in range(40)] + [(f"http://m.net/x/{s}/{i}", int(s == "good")) for s in ("good", "bad") for i in range(40)]
+    pages += [("http://m.net/a", 1), ("http://m.net", 1)]
+    df = spark.createDataFrame([(n, *p) for n, p in enumerate(pages)], "page_id long, url string, good int")
+    got = {r.path: r for r in urls.filter_urls(df, []).collect()}
+    assert got["/a/1"].template == got["/b/2"].template == "/a//b/*" and got["/c/1"].template != "/a//b/*"
+    assert got["/x/good/1"].template != got["/x/bad/1"].template and got["/x/bad/1"].verdict == "block" and got["/x/good/1"].verdict == "allow"
+    assert got["/a"].template == "/a" and got[""].template == ""
+    prior = (sum(g for _, g in pages) + 1) / (len(pages) + 2)
+    assert abs(got["/a/1"].purity - (80 + 10 * prior) / 90) < 1e-9
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(min_size=1, max_size=70_000) | st.text(max_size=3000).map(str.encode))
 def test_ogg_round_trip(data):
