@@ -30,13 +30,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Templates:
     """``branches``: siblings beyond which a level is a wildcard; ``z``: standard errors at which branches
-    differ; ``strength``: labels that the overall share counts as; deeper segments than ``depth`` share a tail."""
+    differ; ``strength``: labels that the overall share counts as."""
 
     branches: int = 20
     z: float = 1.96
     strength: float = 10.0
     reject: float = 0.5
-    depth: int = 5
 
 
 def host_of(url: Column) -> Column:
@@ -87,16 +86,22 @@ def templates(pages: DataFrame, cfg: Templates = Templates()) -> DataFrame:
     prior = leaf.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("seen"), F.lit(0)) + 2)).first()[0]  # one number
     key = ["host", "node", "last", "child"]
     done = leaf.filter(F.size("shape") == 0).select("host", "shape", "good", "seen", F.lit("").alias("template"))
-    tree = leaf.filter(F.size("shape") > 0).withColumn("node", F.lit(""))
-    for k in range(cfg.depth):
+    tree, k = leaf.filter(F.size("shape") > 0).withColumn("node", F.lit("")), 0
+    while not tree.isEmpty():
         step = tree.withColumn("child", F.get("shape", F.lit(k))).withColumn("last", F.size("shape") == k + 1)
-        wide = step.groupBy("host", "node").agg((F.count_distinct("child") > cfg.branches).alias("wide"))
-        named = written(step.join(wide, ["host", "node"]).withColumn("child", F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child"))).drop("wide"), "level")
-        level = named.join(_merged(named, prior, cfg), key).withColumn("node", F.concat("node", "name"))
+        nodes = step.groupBy("host", "node").agg((F.count_distinct("child") > cfg.branches).alias("wide"), (F.count(F.lit(1)) == 1).alias("alone"))
+        named = step.join(nodes, ["host", "node"]).withColumn("child", F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child"))).drop("wide")
+        named = written(named, "level")
+        # what is left of a path that shares its node with no other has no siblings
+        rest = F.concat_ws("/", "node", F.array_join(F.slice("shape", k + 1, F.size("shape")), "/"))
+        ended = named.filter("alone").select("host", "shape", "good", "seen", rest.alias("template"))
+        several = named.filter("not alone").drop("alone")
+        level = several.join(_merged(several, prior, cfg), key).withColumn("node", F.concat("node", "name"))
         level = written(level.select("host", "shape", "good", "seen", "node", "last"), "level")
-        done = done.unionByName(level.filter("last").select("host", "shape", "good", "seen", F.col("node").alias("template")))
-        tree = level.filter("not last").drop("last")
-    done = done.unionByName(tree.select("host", "shape", "good", "seen", F.concat("node", F.lit("/**")).alias("template")))
+        done = done.unionByName(ended).unionByName(level.filter("last").select("host", "shape", "good", "seen", F.col("node").alias("template")))
+        tree, k = level.filter("not last").drop("last"), k + 1
+        if k % 8 == 0:
+            done = written(done, "done")
 
     purity = (F.sum("good") + cfg.strength * prior) / (F.sum("seen") + cfg.strength)
     judged = done.groupBy("host", "template").agg(purity.alias("purity"))

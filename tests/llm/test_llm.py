@@ -218,6 +218,15 @@ def test_url_inner_branches_merge(spark):
     assert abs(got["/a/1"].purity - (80 + 10 * prior) / 90) < 1e-9
 
 
+def test_url_templates_of_any_depth(spark):
+    deep = "/".join("abcdefgh")
+    pages = [(f"http://d.net/{deep}/{s}/{i}", int(s == "news")) for s in ("spam", "news") for i in range(40)] + [("http://e.net/q/" + "/".join(["r"] * 30), None)]
+    df = spark.createDataFrame([(n, *p) for n, p in enumerate(pages)], "page_id long, url string, good int")
+    got = {r.path: r for r in urls.filter_urls(df, []).collect()}
+    assert len(got) == len(pages) and all(r.verdict == ("block" if "spam" in p else "allow") for p, r in got.items())
+    assert got[f"/{deep}/spam/1"].template == f"/{deep}/spam/*" and got["/q/" + "/".join(["r"] * 30)].template == "/q" + "/r" * 30
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(min_size=1, max_size=70_000) | st.text(max_size=3000).map(str.encode))
 def test_ogg_round_trip(data):
