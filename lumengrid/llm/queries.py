@@ -60,7 +60,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), "text")
-    return quality.quality_rules(docs).drop("host")
+    out = quality.quality_rules(docs).withColumn("kept_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return out.drop("host", "text")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

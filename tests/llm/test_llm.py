@@ -194,6 +194,20 @@ def test_quality_counts(spark):
     assert got[201].base_failed and got[201].n_symbols == 24 and (got[200].n_words, got[200].kept) == (0, False)
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_quality_takes_frequent_lines_out(spark, sent):
+    boiler, rare = "This  very line stands in many documents", "this line stands in few of them"
+    docs = [(i, "h" if i % 2 else None, f"own {i}\n\n {boiler.upper() if i % 3 else boiler} \nünd {i} end") for i in range(80)] + [(100 + i, "h", f"{rare}\nx {i}") for i in range(30)]
+    docs += [(200 + i, "h", f"y {i}\n") for i in range(700)] + [(1000, "other", boiler), (1001, "h", None), (1, "h", boiler)]
+    df = spark.createDataFrame(docs, "doc_id long, host string, text string")
+    limits = quality.LineLimits(any_host=35, broadcast_lines=sent)  # boiler is in 41 of h's 772 documents, and in all of the null host's
+    got = sorted(((r.doc_id, r.text) for r in quality.quality_rules(df, limits).collect()), key=repr)
+    want = [(i, "" if t == boiler and h == "h" else "\n".join(x for x in t.split("\n") if h == "other" or x.split() != boiler.split() and x.split() != boiler.upper().split()) if t else t) for i, h, t in docs]
+    assert got == sorted(want, key=repr) and (1, "own 1\n\nünd 1 end") in got
+    low = quality.LineLimits(share=0.06, any_host=41, broadcast_lines=sent)
+    assert {r.text for r in quality.quality_rules(df.filter("host = 'h'"), low).collect()} == {t for _, h, t in docs if h == "h"}
+
+
 def test_url_rules_and_templates(spark):
     urls_ = [(1, "http://A.Example.ORG/es/9?x"), (2, "https://org/en/1#t"), (3, "ftp://x.com/de/"), (4, None), (5, "no scheme"), (6, "http://badexample.org/es/1"), (7, "http://a.com"), (8, "http://example.org/en/17/x")]
     urls_ += [(100 + i, f"http://n.net/{'spam' if i % 2 else 'news'}/{i}") for i in range(80)]
