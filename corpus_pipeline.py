@@ -37,24 +37,31 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a written key of their rows, as ids may be null or repeated."""
+    return written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows with equal id, one."""
-    cfg = jaccard.Join()
-    classes = written(jaccard.similarity_classes(docs, cfg), "classes")
-    losers = written(classes.filter("doc_id <> component_id").select("doc_id").distinct(), "losers")
+    """Of each group of near-duplicates one row stays, the first by id (null last) and text hash; all other rows stay."""
+    cfg, keyed = jaccard.Join(), _keyed(docs)
+    classes = jaccard.similarity_classes(keyed.select(F.col("_row").alias("doc_id"), "text"), cfg)
+    classes = written(classes.select(F.col("doc_id").alias("_row"), "component_id"), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"), "lang", "source", "n_chars", "_row")
+    first = classes.join(keyed.select("_row", order.alias("order")), "_row").groupBy("component_id").agg(F.min("order").getField("_row").alias("_row"))
+    losers = written(classes.join(first, "_row", "left_anti").select("_row"), "losers")
     few = losers.count() <= cfg.broadcast_rows
-    out = docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti")
-    repeated = classes.groupBy("doc_id").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    return keyed.join(F.broadcast(losers) if few else losers, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents drawn towards the target weights; one drawn more than once has as many rows."""
-    slim, _, draws = mixture.mixed(docs, mixture.Mix(block_words=None))
-    rows = slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    times = draws.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_draws")).join(rows, "doc_id")
-    times = times.select(F.col("doc_id").alias("_d"), F.ceil(F.col("_draws") / F.col("_rows")).cast("int").alias("_times"))
-    drawn = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_d")))
+    keyed = _keyed(docs)
+    # the hash of the whole row, so that rows without an id are shuffled too and only equal rows tie
+    of_row = keyed.select(F.xxhash64(*COLUMNS).alias("doc_id"), "source", "text", "_row")
+    _, _, draws = mixture.mixed(of_row, mixture.Mix(block_words=None), "_row")
+    times = draws.groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    drawn = keyed.join(times, "_row")
     return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 

@@ -41,10 +41,10 @@ class Mix:
     seed: int = 17
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, source, text)`` to a slim written table ``(row, doc_id, source, size)``."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return written(slim.withColumn("row", F.monotonically_increasing_id()), "sizes")
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``docs(doc_id, source, text)`` to a slim written table ``(row, doc_id, source, size)``; ``row`` names a column with a key of its rows."""
+    key = F.monotonically_increasing_id() if row is None else F.col(row)
+    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("row")), "sizes")
 
 
 def _blocks(size: Column, mix: Mix) -> Column:
@@ -166,9 +166,9 @@ def draw(slim: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return dealt.withColumn("slot", F.row_number().over(local) - 1).select("shard", "slot", "row", "doc_id", "sid", "block", "epoch", "words")
 
 
-def mixed(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixed(docs: DataFrame, mix: Mix = Mix(), row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``docs(doc_id, source, text)`` to ``(slim, plan, draws)``."""
-    slim = sizes(docs)
+    slim = sizes(docs, row)
     plan = written(targets(slim, mix), "targets")
     return slim, plan, draw(slim, plan, mix)
 

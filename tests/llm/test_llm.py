@@ -304,3 +304,45 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "jaccard_join", "mixture", "packing"]
     out = p.run(spark, SF)
     assert {"doc_id", "start", "length", "ids", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
+
+
+def _with_odd_ids(spark):
+    """Null and repeated ids: copies and near copies among them, and texts of their own under one id."""
+    own = lambda n: " ".join(f"own{n}word{k}" for k in range(40))
+    docs = [(None, own(1)), (None, own(2)), (None, own(2)), (3, own(3)), (3, own(4)), (3, own(4)), (4, own(4)), (5, own(4) + " more"), (5, own(5)), (6, PASSAGE), (None, PASSAGE + " tail"), (2, PASSAGE + " end")]
+    docs += [(7, "too short"), (7, "too short"), (None, None), (None, "one two three")]
+    return docs, spark.createDataFrame([(i, t, "en", f"s{n % 2}", n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_pipeline_near_duplicates_with_odd_ids(spark):
+    import corpus_pipeline as p
+
+    docs, df = _with_odd_ids(spark)
+    classes = brute.classes([(n, t) for n, (_, t) in enumerate(docs)], jaccard.Join().k, jaccard.Join().percent)
+    group = {r[0]: r[2] for r in classes}
+    best = {}
+    for n, (i, _) in enumerate(docs):
+        best.setdefault(group[n], []).append((i is None, i or 0))
+    want = sorted(min(v) for v in best.values())
+    for parts in (1, 5):
+        out = p.drop_near_duplicates(spark, df.repartition(parts), SF).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == want
+        texts = [r.text for r in out]
+        assert {docs[0][1], docs[1][1], docs[3][1], docs[8][1], None} <= set(texts) and texts.count(docs[4][1]) == 1
+
+
+def test_pipeline_mixture_with_odd_ids(spark):
+    import corpus_pipeline as p
+    from collections import Counter
+
+    docs, df = _with_odd_ids(spark)
+    slim, plan, draws = mixture.mixed(df.select(F.col("n_chars").alias("doc_id"), "source", "text"), mixture.Mix(block_words=None))
+    quota = {r.source: (r.quota, r.n_blocks) for r in plan.collect()}
+    seen = []
+    for parts in (1, 5):
+        out = Counter(r.n_chars for r in p.mix_sources(spark, df.repartition(parts), SF).collect())
+        seen.append(out)
+        for s, (q, blocks) in quota.items():
+            own = {n: out[n] for n, (_, t) in enumerate(docs) if f"s{n % 2}" == s and t}
+            assert len(own) == blocks and sum(own.values()) == q and all(c in (q // blocks, q // blocks + 1) for c in own.values())
+    assert seen[0] == seen[1] and any(out > 0 and docs[n][0] is None for n, out in seen[0].items())
