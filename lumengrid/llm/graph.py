@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of a node, and the node, move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "links")
+        last, edges = edges, written(small.filter("u <> v").distinct(), "links")
+        release(last)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

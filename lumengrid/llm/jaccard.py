@@ -13,7 +13,8 @@ is one component and needs no further pairs, so a group of copies costs as many
 pairs as it has members.  Only nodes of a shingle that are still in different components are
 then paired, once each.  Pairs pass the length and positional filters where they are made,
 the suffix filter (their counts in hash partitions bound the overlap) before sets are fetched, and are
-verified once on whole sets.
+verified once on whole sets.  Sets travel as the top 32 bits of each shingle, from which the overlap is known but for
+rare collisions; pairs so near the threshold that these could matter are decided on all bits.
 
 Defined results: texts with fewer words than a shingle are one shingle, the
 whole sequence; null texts and texts without words have empty sets and no
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import release, small_batches, written
 from .graph import components
 from .text import shingle_hashes, word_hashes
 
@@ -50,7 +51,7 @@ class Join:
     percent: int = 80
     cells: int = 1 << 20
     parts: int = 16
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 250_000
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -163,29 +164,60 @@ def _prefixes(cfg: Join, shared):
     return run
 
 
-def _sets(cfg: Join):
+def _sets(cfg: Join, whole: bool):
+    """``(node, parts, tokens)``: counts by hash partition, and the sorted shingles with all bits (``whole``) or the top 32."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 own = [shingles(t or "", cfg.k) for t in batch.column(0).slice(i, 128).to_pylist()]
                 parts = [np.bincount((o % np.uint64(cfg.parts)).astype(np.int64), minlength=cfg.parts).tolist() for o in own]
+                tokens = [o.tobytes() if whole else (o >> np.uint64(BITS - 32)).astype(np.uint32).tobytes() for o in own]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([node_of(o) for o in own], pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array([o.tobytes() for o in own], pa.binary())], names=["node", "parts", "tokens"]
+                    [pa.array([node_of(o) for o in own], pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(tokens, pa.binary())], names=["node", "parts", "tokens"]
                 )
 
     return run
 
 
-def _verified(percent: int):
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common members of two sorted arrays, equal ones counted as often as both have them."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    if (a[1:] != a[:-1]).all() and (b[1:] != b[:-1]).all():
+        return int((both[1:] == both[:-1]).sum())
+    values, times = np.unique(a, return_counts=True)
+    others, more = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(values, others, assume_unique=True, return_indices=True)
+    return int(np.minimum(times[i], more[j]).sum())
+
+
+def decided(both: int, na: int, nb: int, percent: int, whole: bool) -> int:
+    """1 for a link, -1 for none, 0 where collisions of 32-bit shingles could change it.
+
+    Collisions only add to ``both``, about ``na * nb / 2^32`` on average; many more than that do not happen.
+    """
+    links = lambda x: 100 * x >= percent * (na + nb - x)
+    if not links(both):
+        return -1
+    extra = 0 if whole else 3 + int(40 * (na * nb) ** 0.5 / 65536)
+    return 1 if links(both - extra) else 0
+
+
+def _verified(percent: int, whole: bool):
+    """``(a, b, tokens of a, tokens of b)`` to ``(a, b, sure)`` for pairs that link, or may."""
+    kind = np.uint64 if whole else np.uint32
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+            found = []
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    a, b = np.frombuffer(x, kind), np.frombuffer(y, kind)
+                    found.append(decided(overlap(a, b), len(a), len(b), percent, whole))
+            verdict = np.array(found, np.int8)
+            kept = pa.array(verdict >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array(verdict[verdict >= 0] == 1)], names=["a", "b", "sure"])
 
     return run
 
@@ -217,19 +249,22 @@ def _checked(table: DataFrame, cfg: Join) -> DataFrame:
     return F.broadcast(table) if table.count() <= cfg.broadcast_rows else table
 
 
-def _links(pairs: DataFrame, sets: DataFrame, cfg: Join) -> DataFrame:
-    """Verify distinct ``pairs(a, b)``: first the suffix filter on partition counts, then whole sets."""
+def _close(pairs: DataFrame, sets: DataFrame, cfg: Join) -> DataFrame:
+    """The suffix filter: distinct ``pairs(a, b)`` whose partition counts allow a link."""
     left = sets.select(F.col("node").alias("a"), F.col("parts").alias("pa"))
     right = sets.select(F.col("node").alias("b"), F.col("parts").alias("pb"))
     most = "aggregate(zip_with(pa, pb, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)"
     size = "aggregate(pa, 0L, (s, x) -> s + x) + aggregate(pb, 0L, (s, x) -> s + x)"
-    close = left.join(_checked(pairs, cfg), "a").join(right, "b").filter(F.expr(f"{100 + cfg.percent} * {most} >= {cfg.percent} * ({size})")).select("a", "b")
-    close = _checked(written(close, "close"), cfg)
-    # only sets that a pair still needs are shuffled
-    ta = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")).join(close, "a", "left_semi")
-    tb = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    full = tb.join(close, "b").join(ta, "a").select("a", "b", "ta", "tb")
-    return written(full.mapInArrow(_verified(cfg.percent), "a long, b long"), "verified")
+    close = left.join(_checked(pairs, cfg), "a").join(right, "b").filter(F.expr(f"{100 + cfg.percent} * {most} >= {cfg.percent} * ({size})"))
+    return written(close.select("a", "b"), "close")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, cfg: Join, whole: bool) -> DataFrame:
+    """``(a, b, sure)`` of the ``pairs(a, b)`` that link: the set of ``a`` travels to ``b``, once for each pair, and only sets that a pair needs do."""
+    few = _checked(pairs, cfg)
+    ta = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")).join(few, "a")
+    tb = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")).join(few.select("b").distinct(), "b", "left_semi")
+    return written(ta.join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verified(cfg.percent, whole), "a long, b long, sure boolean"), "verified")
 
 
 def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
@@ -243,26 +278,43 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     classes = spark.sparkContext.broadcast(_frequency_classes(summaries, cfg))  # cfg.cells bytes
 
     postings = docs.select("text").mapInArrow(_prefixes(cfg, classes), "token long, node long, n int, pos int")
-    common = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("token")
+    # counts alone are shuffled; a shingle of copies in several tasks passes too and meets no other set later
+    common = postings.groupBy("token").count().filter("count > 1").select("token")
     groups = written(_placed(postings.join(common, "token")), "groups")
 
-    def fetched(pairs: DataFrame) -> DataFrame:
+    def fetched(pairs: DataFrame, whole: bool) -> DataFrame:
         """The sets of the nodes in ``pairs``, once each."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         chosen = written(wanted.join(nodes, "node").select(F.col("least").alias("doc_id")).distinct(), "chosen")
         few = chosen.count() <= cfg.broadcast_rows
         same = docs["doc_id"].eqNullSafe(chosen["doc_id"])
         texts = docs.join(F.broadcast(chosen) if few else chosen, same, "left_semi").select("text")
-        sets = written(texts.mapInArrow(_sets(cfg), "node long, parts array<int>, tokens binary"), "sets")
+        sets = written(texts.mapInArrow(_sets(cfg, whole), "node long, parts array<int>, tokens binary"), "sets")
+        release(chosen)
         # only where ids repeat can a node come twice
         twice = sets.groupBy("node").count().filter("count > 1")
         return sets if twice.isEmpty() else written(sets.dropDuplicates(["node"]), "sets")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct ``pairs(a, b)`` that link."""
+        sets = fetched(pairs, False)
+        close = _close(pairs, sets, cfg)
+        found = _compared(close, sets, cfg, False)
+        release(sets, close)
+        out, open_ = found.filter("sure").select("a", "b"), found.filter("not sure").select("a", "b")
+        if open_.isEmpty():
+            return out
+        sets = fetched(open_, True)
+        more = _compared(open_, sets, cfg, True)
+        release(sets)
+        return out.unionByName(more.select("a", "b"))
+
     heads = groups.groupBy("token").agg(F.max(F.struct("shared", "node", "n")).alias("h"))
     tried = groups.join(heads, "token").filter(F.col("node") != F.col("h.node"))
     tried = tried.filter(100 * F.least("n", "h.n") >= cfg.percent * F.greatest("n", "h.n"))
-    first = written(tried.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct(), "pairs")
-    links = _links(first, fetched(first), cfg)
+    # heads are the greater by a fixed order, so a pair comes in one direction only
+    first = written(tried.select(F.col("node").alias("a"), F.col("h.node").alias("b")).distinct(), "pairs")
+    links = linked(first)
     roots = written(components(links), "roots")
 
     own = groups.join(_checked(roots, cfg), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -277,18 +329,21 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     # the component with fewer sets at the shingle first, so that a large one is only met where the pair itself is tested
     small = F.col("nodes") <= F.col("nodes2")
     facing = sides.join(other, "token").filter(fit).select("token", F.when(small, F.col("root")).otherwise(F.col("root2")).alias("root"), F.when(small, F.col("root2")).otherwise(F.col("root")).alias("root2"))
-    facing = _checked(written(facing, "facing"), cfg)
+    facing_ = written(facing, "facing")
+    facing = _checked(facing_, cfg)
     a = own.select("token", "root", F.col("node").alias("na"), F.col("n").alias("sa"), F.col("pos").alias("oa"), F.col("after").alias("fa"))
     b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("pos").alias("ob"), F.col("after").alias("fb"))
     cross = a.join(facing, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "oa", "fa"))), tuple(map(F.col, ("sb", "ob", "fb")))))
     second = cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_links(second, fetched(second), cfg))
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = written(second.join(tested, ["a", "b"], "left_anti"), "pairs")
+    release(own, groups, facing_)
+    links = links.unionByName(linked(second))
     roots = components(links)
 
     named = roots.join(nodes, "node")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.select("node", "root").join(ids, "root").select("node", "component_id")
-    every = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    of_link = named.select("node", "root").join(ids, "root").select("node", "component_id")
+    every = nodes.join(of_link, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     out = rows.join(every, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
