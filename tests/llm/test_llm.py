@@ -79,7 +79,7 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 202: 200}
 
 
-@pytest.mark.parametrize("few", [lines.Runs(min_words=5), lines.Runs(min_words=16, broadcast_rows=0)])
+@pytest.mark.parametrize("few", [lines.Runs(min_words=5), lines.Runs(min_words=16, broadcast_numbers=0)])
 def test_line_dedup_equals_brute_force(spark, documents, few):
     docs = [r for r in EDGE if r[0] is not None and r[0] != 8] + [(i + 100, t) for i, t in documents]
     got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), few).select("doc_id", "kept")
@@ -346,3 +346,12 @@ def test_pipeline_mixture_with_odd_ids(spark):
             own = {n: out[n] for n, (_, t) in enumerate(docs) if f"s{n % 2}" == s and t}
             assert len(own) == blocks and sum(own.values()) == q and all(c in (q // blocks, q // blocks + 1) for c in own.values())
     assert seen[0] == seen[1] and any(out > 0 and docs[n][0] is None for n, out in seen[0].items())
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    """Two equal documents of very many short lines, and a third that shares their middle."""
+    line = [f"line {n} of many" for n in range(60_000)]
+    docs = [(1, "\n".join(line)), (2, "\n".join(line)), (3, "\n".join(["start here", *line[100:50_000], "end here"])), (3, "\n".join(["start here", *line[100:50_000], "end here"]))]
+    df = spark.createDataFrame([(*d, "mine", 5) for d in docs], "doc_id long, text string, kept string, spans long")
+    got = sorted(map(tuple, lines.dedup_lines(df).select("doc_id", "kept", "n_lines", "n_deleted", "spans").collect()))
+    assert got == [(1, docs[0][1], 60_000, 0, 5), (2, "", 60_000, 60_000, 5)] + [(3, "start here\nend here", 49_902, 49_900, 5)] * 2
