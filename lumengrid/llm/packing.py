@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,19 +113,23 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end: int = 1, cut
 def lay_patterns(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[int, ...]]]:
     """Patterns ``(count, lengths)`` that use up the histogram, each within ``limit``."""
     open_: dict[int, list[list]] = defaultdict(list)  # by tokens left
+    rest = sum(n * k for n, k in histogram.items())  # tokens not yet placed
     for length in sorted(histogram, reverse=True):
         todo = histogram[length]
         while todo:
             left = max((k for k, v in open_.items() if v and k >= length), default=None)
             if left is None:
-                open_[limit - length].append([todo, (length,)])
-                break
+                # no more new packs than all that is left would fill
+                used = min(todo, -(-rest // limit))
+                open_[limit - length].append([used, (length,)])
+                todo, rest = todo - used, rest - used * length
+                continue
             count, lengths = open_[left].pop()
             used = min(count, todo)
             if count > used:
                 open_[left].append([count - used, lengths])
             open_[left - length].append([used, (*lengths, length)])
-            todo -= used
+            todo, rest = todo - used, rest - used * length
     return [(c, p) for group in open_.values() for c, p in group]
 
 
@@ -137,12 +141,12 @@ def pack(pieces: DataFrame, limit: int = 2048, bucket_rows: int = 20_000) -> Dat
     slots, ranks, first = [], dict.fromkeys(found, 0), 0
     for count, lengths in sorted(patterns, key=lambda p: p[1], reverse=True):
         at = 0
-        for length in lengths:
-            slots.append((length, ranks[length], ranks[length] + count, first - ranks[length], at))
-            ranks[length] += count
-            at += length
+        for length, times in Counter(lengths).items():  # equal ones lie side by side
+            slots.append((length, ranks[length], ranks[length] + count * times, count, first, at))
+            ranks[length] += count * times
+            at += length * times
         first += count
-    table = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long")
+    table = spark.createDataFrame(slots, "length long, low long, high long, packs long, first long, at long")
     buckets = max(1, sum(found.values()) // bucket_rows)
     own = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     counts = own.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -150,6 +154,7 @@ def pack(pieces: DataFrame, limit: int = 2048, bucket_rows: int = 20_000) -> Dat
     starts = counts.select("length", "_bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_from"))
     inside = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")
     ranked = own.withColumn("_rank", F.row_number().over(inside)).join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_from") - 1)
-    # the pattern table has at most a few rows for each of `limit` lengths
-    out = ranked.join(F.broadcast(table), "length").filter("_rank >= low and _rank < high")
-    return out.withColumn("sequence_id", F.col("_rank") + F.col("shift")).drop("_bucket", "_rank", "_from", "low", "high", "shift")
+    # a row for each length of each pattern, however often the pattern has it: the place follows from the rank
+    out = ranked.join(F.broadcast(table), "length").filter("_rank >= low and _rank < high").withColumn("_rank", F.col("_rank") - F.col("low"))
+    out = out.withColumn("sequence_id", F.col("first") + F.col("_rank") % F.col("packs")).withColumn("offset", F.col("at") + F.expr("_rank div packs") * F.col("length"))
+    return out.drop("_bucket", "_rank", "_from", "low", "high", "packs", "first", "at")
