@@ -132,6 +132,20 @@ def split_tree(quotas: DataFrame, total: int, shards: int, mix: Mix = Mix()) ->
     return nodes.select(F.col("lo").alias("shard"), F.explode("q").alias("e")).select("shard", "e.sid", "e.quota").filter(F.col("quota") > 0)
 
 
+def _before(df: DataFrame, key: list[str], at: str, value: str, chunk: int = 4096) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the rows of ``key`` with smaller ``at`` (distinct whole numbers).
+
+    Sums of ``chunk`` neighbours first, then sums of these, so that no task orders all rows of a key.
+    """
+    own = df.withColumn("_chunk", F.expr(f"{at} div {chunk}"))
+    chunks = own.groupBy(*key, "_chunk").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chunks.select(*key, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy(*key, "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return own.join(starts, [*key, "_chunk"]).withColumn("before", F.col("_from") + F.col("_in")).drop("_chunk", "_from", "_in")
+
+
 def draw(slim: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mixed stream: ``(shard, slot, row, doc_id, sid, block, epoch, words)``, one row per block drawn.
 
@@ -141,8 +155,7 @@ def draw(slim: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     shards = max(1, math.ceil(total / mix.shard_blocks))
     leaves = split_tree(plan.select("sid", "quota"), total, shards, mix)
     width = F.greatest(F.lit(1), F.ceil(F.col("all") / shards)).cast("long")
-    by_source = Window.partitionBy("sid").orderBy("shard")
-    leaves = leaves.withColumn("end", F.sum("quota").over(by_source)).withColumn("begin", F.col("end") - F.col("quota"))
+    leaves = _before(written(leaves, "leaves"), ["sid"], "shard", "quota").withColumnRenamed("before", "begin").withColumn("end", F.col("begin") + F.col("quota"))
     leaves = leaves.join(plan.select("sid", F.col("quota").alias("all")), "sid").withColumn("width", width)
     cells = leaves.select("sid", "shard", "begin", "end", F.explode(F.expr("sequence(begin div width, (end - 1) div width)")).alias("cell"))
 
@@ -156,8 +169,7 @@ def draw(slim: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     own = own.select("row", "doc_id", "sid", "epoch", "block", "words", "h", "bucket", "n_blocks", "quota", "size")
     bucket = ["sid", "epoch", "bucket"]
     counts = own.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("sid", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    starts = _before(written(counts, "counts"), ["sid", "epoch"], "bucket", "n").select(*bucket, F.col("before").alias("start"))
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(*bucket).orderBy("h", "doc_id", "block", "size", "row")))
     drawn = ranked.join(starts, bucket).withColumn("place", F.col("epoch") * F.col("n_blocks") + F.col("start") + F.col("rank") - 1)
     drawn = drawn.filter("place < quota").withColumn("cell", F.expr(f"place div cast(greatest(1, ceil(quota / {shards})) as bigint)"))

@@ -355,3 +355,27 @@ def test_line_dedup_of_very_long_texts(spark):
     df = spark.createDataFrame([(*d, "mine", 5) for d in docs], "doc_id long, text string, kept string, spans long")
     got = sorted(map(tuple, lines.dedup_lines(df).select("doc_id", "kept", "n_lines", "n_deleted", "spans").collect()))
     assert got == [(1, docs[0][1], 60_000, 0, 5), (2, "", 60_000, 60_000, 5)] + [(3, "start here\nend here", 49_902, 49_900, 5)] * 2
+
+
+def test_packing_of_repeated_rows_null_ids_and_no_rows(spark):
+    import public_tokenizers
+    from collections import Counter
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    docs = [(None, "")] * 700 + [(1, None)] * 30 + [(2, "a few words here")] * 50 + [(None, "a few words here")] * 3 + [(3, LONG)] * 2
+    df = spark.createDataFrame([(*d, 9, 9) for d in docs], "doc_id long, text string, low long, first long")
+    out = packing.pack(packing.pieces(df, path, limit=256).cache(), limit=256, bucket_rows=64).collect()
+    assert Counter(r.doc_id for r in out if r.start == 0) == Counter(d for d, _ in docs)
+    assert Counter((r.doc_id, r.start) for r in out if r.doc_id == 3) == {(3, s): 2 for s in {r.start for r in out if r.doc_id == 3}}
+    used = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert used.get(r.sequence_id, 0) == r.offset
+        used[r.sequence_id] = r.offset + r.length
+    assert set(used) == set(range(len(used))) and max(used.values()) <= 256 and sum(used.values()) > 0.97 * 256 * len(used)
+    assert packing.pack(packing.pieces(df.limit(0), path).cache()).count() == 0
+
+
+def test_running_sums_need_no_single_task(spark):
+    values = [(s, n, (7 * n + s) % 11) for s in range(2) for n in range(0, 300, 1 + s)]
+    got = {(r.s, r.n): r.before for r in mixture._before(spark.createDataFrame(values, "s int, n long, v long"), ["s"], "n", "v", chunk=16).collect()}
+    assert got == {(s, n): sum(v for t, m, v in values if t == s and m < n) for s, n, _ in values}
