@@ -10,7 +10,8 @@ Two sets over the threshold share a shingle within their first
 ``n - ceil(t n) + 1``; only those are shuffled.  Equal sets are one node from the start.
 Nodes that share a prefix shingle are first tried against the least of them; what that links
 is one component and needs no further pairs, so a group of copies costs as many
-pairs as it has members.  Only nodes of a shingle that are still in different components are
+pairs as it has members.  Where a shingle still has many components, its nodes are tried against another one,
+chosen by hash, a few times over.  Only nodes of a shingle that are still in different components are
 then paired, once each.  Pairs pass the length and positional filters where they are made,
 the suffix filter (their counts in hash partitions bound the overlap) before sets are fetched, and are
 verified once on whole sets.  Sets travel as the top 32 bits of each shingle, from which the overlap is known but for
@@ -44,7 +45,8 @@ class Join:
     """Links need ``100 * |A and B| >= percent * |A or B|``.
 
     ``cells``: size of the frequency sketch; ``parts``: partitions of the suffix filter;
-    ``broadcast_rows``: keys up to which a join is broadcast, beyond it is shuffled.
+    ``broadcast_rows``: keys up to which a join is broadcast, beyond it is shuffled; ``crowd`` and ``rounds``: components at a
+    shingle beyond which its nodes are tried against one of them first, and how often (all pairs left are tried after that).
     """
 
     k: int = 5
@@ -52,6 +54,8 @@ class Join:
     cells: int = 1 << 20
     parts: int = 16
     broadcast_rows: int = 250_000
+    crowd: int = 16
+    rounds: int = 3
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -317,7 +321,27 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     links = linked(first)
     roots = written(components(links), "roots")
 
-    own = groups.join(_checked(roots, cfg), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def by_root() -> DataFrame:
+        return groups.join(_checked(roots, cfg), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for attempt in range(cfg.rounds):
+        crowded = by_root().select("token", "root").distinct().groupBy("token").count().filter(F.col("count") > cfg.crowd).select("token")
+        crowded = written(crowded, "crowded")
+        at = by_root().join(_checked(crowded, cfg), "token")
+        some = at.groupBy("token").agg(F.max(F.struct(F.xxhash64("token", "node", F.lit(attempt)).alias("order"), "node", "n", "pos", "after", "root")).alias("h"))
+        met = at.join(some, "token").filter(F.col("root") != F.col("h.root"))
+        met = met.filter(_may_link(cfg.percent, tuple(map(F.col, ("n", "pos", "after"))), tuple(map(F.col, ("h.n", "h.pos", "h.after")))))
+        more = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        release(crowded)
+        if more.isEmpty():
+            break
+        tested, links = tested.unionByName(more), links.unionByName(linked(more))
+        roots = written(components(links), "roots")
+
+    own = by_root()
     apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     own = written(own.join(apart, "token"), "apart")
     # by component first: the most that any of its sets could share from this shingle on
@@ -335,7 +359,6 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     b = own.select("token", F.col("root").alias("root2"), F.col("node").alias("nb"), F.col("n").alias("sb"), F.col("pos").alias("ob"), F.col("after").alias("fb"))
     cross = a.join(facing, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "oa", "fa"))), tuple(map(F.col, ("sb", "ob", "fb")))))
     second = cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = written(second.join(tested, ["a", "b"], "left_anti"), "pairs")
     release(own, groups, facing_)
     links = links.unionByName(linked(second))

@@ -69,7 +69,7 @@ def test_near_copies_with_chains(spark):
             own[i] = f"n{rng.integers(0, 9)}"
         docs.append((d, " ".join(own)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for cfg in (jaccard.Join(k=4, percent=85), jaccard.Join()):
+    for cfg in (jaccard.Join(k=4, percent=85), jaccard.Join(crowd=1)):
         assert rows(jaccard.similarity_classes(df, cfg)) == sorted(brute.classes(docs, cfg.k, cfg.percent), key=repr)
 
 
@@ -379,3 +379,16 @@ def test_running_sums_need_no_single_task(spark):
     values = [(s, n, (7 * n + s) % 11) for s in range(2) for n in range(0, 300, 1 + s)]
     got = {(r.s, r.n): r.before for r in mixture._before(spark.createDataFrame(values, "s int, n long, v long"), ["s"], "n", "v", chunk=16).collect()}
     assert got == {(s, n): sum(v for t, m, v in values if t == s and m < n) for s, n, _ in values}
+
+
+def test_overlap_of_short_hashes_decides_or_leaves_open():
+    rng = np.random.default_rng(8)
+    for n, m in ((0, 5), (40, 60), (3000, 2900)):
+        a, b = (np.sort(rng.integers(0, 4000, k).astype(np.uint32)) for k in (n, m))
+        from collections import Counter
+
+        assert jaccard.overlap(a, b) == sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+    for both in range(101):
+        exact = jaccard.decided(both, 100, 100, 80, True)
+        assert exact == (1 if 100 * both >= 80 * (200 - both) else -1)
+        assert jaccard.decided(both, 100, 100, 80, False) in (exact, 0) and jaccard.decided(both, 100, 100, 80, False) == exact or 89 <= both <= 93
