@@ -17,7 +17,7 @@ def _responses(spark, d):
     y = e.groupBy("user_id", "bin").agg(F.count(F.lit(1)).alias("y"), F.avg("value").alias("level"), F.stddev_pop("value").alias("spread"), F.max("value").alias("top"))
     w = Window.partitionBy("user_id")
     i = F.row_number().over(w.orderBy("bin")) - 1
-    y = y.withColumn("i", i).withColumn("n", F.count(F.lit(1)).over(w)).filter("n >= 12").withColumn("fold", contiguous_fold(F.col("i"), F.col("n"), 4))
+    y = y.withColumn("i", i).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("fold", contiguous_fold(F.col("i"), F.col("n"), 4))
     return y.withColumn("phase", F.sin(F.col("bin") % 4)).withColumn("log_exposure", F.lit(0.0))
 
 
