@@ -101,5 +101,22 @@ _OP5 = """with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(t
  select w.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)"""
 
 
+_SPLIT = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_OP7 = f"""with b as (select row_number() over () as r, doc_id, source as host, text, coalesce(text, '') as t from documents),
+ w as (select r, {_SPLIT.format('t')} as ws from b),
+ g as (select r, i, array_to_string(ws[i : i + 2], ' ') as k from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 4)),
+ again as (select r, count(distinct i + j) as n from (select r, i from g qualify count(*) over (partition by r, k) > 1), range(3) x(j) group by r),
+ l as (select r, host, p, line, {_SPLIT.format('line')} as lw from (select r, host, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as p from b)),
+ f as (select *, len(lw) > 0 as filled, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from l),
+ h as (select host, count(*) as docs from b group by 1),
+ hot as (select c.host, norm from (select host, norm, count(distinct r) as holders from f where filled group by 1, 2) c join h on h.host is not distinct from c.host where holders > 20 and holders > 0.05 * docs or holders > 1000),
+ m as (select f.*, hot.norm is not null and filled as gone from f left join hot on hot.norm = f.norm and hot.host is not distinct from f.host),
+ per as (select r, (count(*) filter (where filled) - count(distinct line) filter (where filled))::bigint as n_dup_lines, coalesce(sum(len(lw)) filter (where gone), 0)::bigint as removed_words,
+  coalesce(string_agg(line, chr(10) order by p) filter (where not gone), '') as clean from m group by r),
+ o as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, n_dup_lines, coalesce(again.n, 0) as n_repeat_words, removed_words, sha256(clean) as kept_sha256
+  from b join w using (r) join per using (r) left join again using (r))
+ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words as kept from o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op5_substring_dedup": _OP5}
+    return {"op2_chat_format": _OP2, "op5_substring_dedup": _OP5, "op7_quality_rules": _OP7}

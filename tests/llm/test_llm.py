@@ -392,3 +392,21 @@ def test_overlap_of_short_hashes_decides_or_leaves_open():
         exact = jaccard.decided(both, 100, 100, 80, True)
         assert exact == (1 if 100 * both >= 80 * (200 - both) else -1)
         assert jaccard.decided(both, 100, 100, 80, False) in (exact, 0) and jaccard.decided(both, 100, 100, 80, False) == exact or 89 <= both <= 93
+
+
+def test_quality_query_equals_sql(spark):
+    from compare import connection, differences
+
+    assert differences(spark, connection(SF), "op7", queries.op7_quality_rules, queries.oracle_sql()["op7_quality_rules"], SF) == ""
+
+
+def test_quality_of_awkward_rows_equals_sql(spark, tmp_path):
+    """Null hosts and texts, repeated rows, a very long text, and columns of other operators' names."""
+    from compare import connection, differences
+
+    line = "this line stands in many documents of a host"
+    docs = [(i, f"own {i}\n{line.upper() if i % 2 else line}\n" + " ".join(f"w{i}x{k}" for k in range(60)), None if i % 3 else "h") for i in range(90)]
+    docs += [(5, None, "h"), (5, None, "h"), (6, "", None), (7, LONG, "h"), (8, "a b c " * 400, "h"), (9, "\n \n", "h")] + [(10, "# a\n# a\nb", "other")] * 2
+    spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, source string, kept int, removed_words string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = connection(str(tmp_path))
+    assert differences(spark, con, "op7", queries.op7_quality_rules, queries.oracle_sql()["op7_quality_rules"], str(tmp_path)) == ""
