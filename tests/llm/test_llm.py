@@ -410,3 +410,45 @@ def test_quality_of_awkward_rows_equals_sql(spark, tmp_path):
     spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, source string, kept int, removed_words string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = connection(str(tmp_path))
     assert differences(spark, con, "op7", queries.op7_quality_rules, queries.oracle_sql()["op7_quality_rules"], str(tmp_path)) == ""
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("aeioustrn"), 6))
+    docs = [(i, " ".join([*(word() for _ in range(20)), *(["gnarfle"] if i % 3 == 0 else [])])) for i in range(90)]
+    docs += [docs[0]] * 40 + [(1, " ".join(word() for _ in range(5))), (None, docs[3][1]), (None, None)]
+    df = spark.createDataFrame([(*d, "old", n) for n, d in enumerate(docs)], "doc_id long, text string, score string, label int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(0, 0), (0, 1), (None, 1), (5, None)], "doc_id long, label int")
+    model = toxicity.fit(df, labels)
+    out = toxicity.score(df, model).collect()
+    assert len(out) == len(docs) and sorted(r.label for r in out) == list(range(len(docs))) and all(0 <= r.score <= 1 for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.text, set()).add(r.score)
+    assert all(len(v) == 1 for v in by.values())
+    again = toxicity.fit(df.repartition(5), labels)
+    assert np.array_equal(model.weights, again.weights) and model.curve == again.curve
+    assert toxicity.fit(df, labels.filter("label = 1")) is None and toxicity.fit(df.limit(0), labels) is None
+
+
+def test_toxicity_windows_equal_a_plain_score(spark):
+    weights = np.random.default_rng(1).normal(0, 1, 64)
+    for width in (1, 3):
+        model = toxicity.Model(weights, 0.25, (1.5, -0.5, 0.1), width, 10)
+        for text in ("", "one", "one two", "one two three four five six one", "«Ünï» x, y! " * 9):
+            w = toxicity.normal_words(text)
+            each = [np.mean([weights[g] for g in toxicity.grams(x, 64)]) for x in w]
+            runs = [np.mean(each[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else [0.0]
+            want = 1 / (1 + np.exp(-(1.5 * (0.25 + max(runs)) - 0.5 * np.log1p(len(w)) + 0.1)))
+            assert abs(model.score(text) - want) < 1e-12
+
+
+def test_url_filter_of_no_rows_repeats_and_deep_paths(spark):
+    kind = "page_id long, url string, good int, host string, template int"
+    assert urls.filter_urls(spark.createDataFrame([], kind), queries.RULES).count() == 0
+    deep = "http://h.net/" + "/".join(f"s{k % 3}" for k in range(12)) + "/" + "q" * 50_000
+    pages = [(1, deep), (1, deep), (2, None), (None, "http://ORG/EN/1"), (3, "http://x.example.org/en/1"), (4, "http://example.org.com/de/1"), (5, "://"), (6, "a://b://c/d")]
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame([(*p, None, "mine", 1) for p in pages], kind), [*queries.RULES, ("block", "org", "/")]).collect()), key=repr)
+    path = deep[len("http://h.net") :]
+    want = [(1, "h.net", path, None, "allow")] * 2 + [(2, "", "", None, "allow"), (3, "x.example.org", "/en/1", "example.org/en/1", "block"), (4, "example.org.com", "/de/1", "com/de/", "block"), (5, "", "", None, "allow"), (6, "b:", "//c/d", None, "allow")]
+    assert [r for r in got if r[0] is not None] == want and [r[:4] for r in got if r[0] is None] == [(None, "org", "/EN/1", "org/")]
