@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import shuffle_key
 from ..operators.tables import micros, r6, table
 from ..registry import query
 from ..streaming.sessions import session_counts, tumbling_counts
@@ -79,13 +80,15 @@ def r5_fold_correlation(spark, d):
     return p.groupBy("user_id").agg(F.count("r").alias("pairs"), r6(F.avg("r")).alias("fold_corr"))
 
 
-@query("""with e as (select label, embedding, row_number() over (partition by label order by vec_id) % 2 as half from embeddings),
+_GEOMETRIES = """e as (select label, embedding, row_number() over (partition by label order by vec_id) % 2 as half from embeddings),
  u as (select label, half, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from e), m as (select label, half, i, avg(x) as x from u group by all),
  c as (select label, half, list(x order by i) as v from m group by all),
- r as (select a.half, a.label as l1, b.label as l2, 1 - list_cosine_similarity(a.v, b.v) as dist from c a join c b on a.half = b.half and a.label < b.label)
- select count(*) as pairs, round(corr(x.dist, y.dist), 6) as rsa from r x join r y using (l1, l2) where x.half = 0 and y.half = 1""")
-def x2_similarity_of_geometries(spark, d):
-    """Cosine distances between class means in two halves, and the correlation of their upper triangles."""
+ r as (select a.half, a.label as l1, b.label as l2, 1 - list_cosine_similarity(a.v, b.v) as dist from c a join c b on a.half = b.half and a.label < b.label),
+ w as (select l1, l2, x.dist as d0, y.dist as d1 from r x join r y using (l1, l2) where x.half = 0 and y.half = 1)"""
+
+
+def _geometries(spark, d) -> DataFrame:
+    """Cosine distances ``d0`` and ``d1`` between class means in two halves, a row per pair of classes."""
     half = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) % 2
     # numbered in a step of its own: beside a generator the window would number exploded rows
     halves = table(spark, d, "embeddings").select("label", "embedding", half.alias("half"))
@@ -97,8 +100,36 @@ def x2_similarity_of_geometries(spark, d):
         (1 - F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))).alias("dist")
     )
     of = lambda h: F.max(F.when(F.col("half") == h, F.col("dist")))
-    wide = p.groupBy("label", "label2").agg(of(0).alias("d0"), of(1).alias("d1")).filter("d0 is not null and d1 is not null")
-    return wide.agg(F.count(F.lit(1)).alias("pairs"), r6(F.corr("d0", "d1")).alias("rsa"))
+    return p.groupBy("label", "label2").agg(of(0).alias("d0"), of(1).alias("d1")).filter("d0 is not null and d1 is not null")
+
+
+@query(f"with {_GEOMETRIES} select count(*) as pairs, round(corr(d0, d1), 6) as rsa from w")
+def x2_similarity_of_geometries(spark, d):
+    """Cosine distances between class means in two halves, and the correlation of their upper triangles."""
+    return _geometries(spark, d).agg(F.count(F.lit(1)).alias("pairs"), r6(F.corr("d0", "d1")).alias("rsa"))
+
+
+@query(f"""with {_GEOMETRIES}, l as (select label, row_number() over (order by label) as i from (select l1 as label from w union select l2 from w)),
+ q as (select p, label, row_number() over (partition by p order by case when p = 0 then '' else md5('16:' || p || ':' || label) end, label) as i from l, range(100) t(p)),
+ k as (select q.p, l.label, q.label as drawn from l join q using (i)),
+ z as (select a.p, round(corr(w.d0, v.d1), 6) as r from w join k a on a.label = w.l1 join k b on b.label = w.l2 and b.p = a.p join w v on v.l1 = least(a.drawn, b.drawn) and v.l2 = greatest(a.drawn, b.drawn) group by 1)
+ select count(*) - 1 as permutations, max(r) filter (where p = 0) as r, (1 + count(*) filter (where p > 0 and r >= (select r from z where p = 0))) / count(*) as p_right from z""")
+def n16_permuted_geometry(spark, d):
+    """The correlation of two geometries against 99 permutations of the classes of one of them, by hash order."""
+    w = _geometries(spark, d)
+    labels = w.select("label").union(w.select("label2")).distinct()
+    numbered = labels.withColumn("i", F.row_number().over(Window.orderBy("label")))  # a row per class
+    key = F.when(F.col("p") == 0, F.lit("")).otherwise(shuffle_key("16", "p", "label"))
+    drawn = labels.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    drawn = drawn.select("p", F.col("label").alias("drawn"), F.row_number().over(Window.partitionBy("p").orderBy(key, "label")).alias("i"))
+    maps = numbered.join(drawn, "i").select("p", "label", "drawn")
+    second = maps.select("p", F.col("label").alias("label2"), F.col("drawn").alias("drawn2"))
+    met = w.select("label", "label2", "d0").join(maps, "label").join(second, ["p", "label2"])
+    met = met.select("p", "d0", F.least("drawn", "drawn2").alias("label"), F.greatest("drawn", "drawn2").alias("label2"))
+    r = met.join(w.select("label", "label2", "d1"), ["label", "label2"]).groupBy("p").agg(r6(F.corr("d0", "d1")).alias("r"))
+    s = r.agg(F.max(F.when(F.col("p") == 0, F.col("r"))).alias("r"), F.collect_list(F.when(F.col("p") > 0, F.col("r"))).alias("null"))  # 99 numbers
+    above = F.size(F.filter("null", lambda x: x >= F.col("r")))
+    return s.select(F.size("null").cast("long").alias("permutations"), "r", ((1 + above) / (1 + F.size("null"))).alias("p_right"))
 
 
 HALF = 7
