@@ -66,3 +66,50 @@ def clip_windows(words: DataFrame, limit: float, least: float) -> DataFrame:
     """Windows ``start``/``end`` kept inside ``[0, limit]`` and at least ``least`` long; every row stays."""
     start = F.least(F.greatest("start", F.lit(0)), F.lit(limit) - least)
     return words.withColumn("start", F.greatest(start, F.lit(0))).withColumn("end", F.greatest(F.least("end", F.lit(limit)), F.col("start") + least))
+
+
+def _fixed(s: dict) -> tuple[Column, Column]:
+    return F.col("onset") + 80 - s["pre"], F.col("onset") + 80 + s["post"]
+
+
+def _padded(s: dict) -> tuple[Column, Column]:
+    return F.col("onset") - s["pre"], F.col("offset") + s["post"]
+
+
+def _shifted(s: dict) -> tuple[Column, Column]:
+    return F.col("onset") + s["shift"], F.col("offset") + s["shift"]
+
+
+def _bounds(s: dict) -> tuple[Column, Column]:
+    return F.col(s["start"]) + s["start_shift"], F.col(s["end"]) + s["end_shift"]
+
+
+def _from_reference(s: dict) -> tuple[Column, Column]:
+    return F.col(s["ref"]) + s["shift"], F.col(s["ref"]) + s["shift"] + s["length"]
+
+
+#: Names of modes whose windows differ between the target speaker and others, and their numbers (ms).
+SPEAKER_MODES = {
+    "fixed": (_fixed, _fixed),
+    "regression": (lambda s: (F.col("onset"), F.col("offset") + 500), lambda s: (F.col("onset"), F.col("offset") + 500)),
+    "target_vs_other": (lambda s: (F.col("onset") - 500, F.col("onset")), lambda s: (F.col("onset"), F.col("offset") + 500)),
+    "onset_offset_plus_prepost": (_padded, _padded),
+    "onset_offset_append_window": (_padded, _padded),
+    # the target's own window lies before the word by the shift, that of others after it
+    "duration_shifted_window": (lambda s: _shifted({"shift": -s["shift"]}), _shifted),
+    "target_vs_other_custom_bounds": (_bounds, _bounds),
+    "target_vs_other_fixed_window_from_ref": (_from_reference, _from_reference),
+}
+
+
+def speaker_windows(words: DataFrame, mode: str, own: Column, target: dict, other: dict) -> DataFrame:
+    """Adds ``start`` and ``end`` by speaker; ``target`` and ``other`` hold what the mode needs of
+    ``pre``, ``post``, ``shift``, ``start``, ``start_shift``, ``end``, ``end_shift``, ``ref``, ``length``.
+
+    Shifted windows that are empty go; a word of unknown speaker counts as another's.
+    """
+    of_target, of_other = SPEAKER_MODES[mode]
+    mine, theirs = of_target(target), of_other(other)
+    both = [F.when(own, a).otherwise(b) for a, b in zip(mine, theirs, strict=True)]
+    out = words.select("*", both[0].alias("start"), both[1].alias("end"))
+    return out.filter("start < end") if mode == "duration_shifted_window" else out

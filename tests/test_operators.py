@@ -1,6 +1,6 @@
 import numpy as np
 from lumengrid.operators.glm import encode_units, poisson_ridge
-from lumengrid.operators.intervals import clip_windows, interval_join, nearest_gap
+from lumengrid.operators.intervals import clip_windows, interval_join, nearest_gap, speaker_windows
 from lumengrid.operators.ranks import average_rank, benjamini_hochberg, contiguous_fold
 from pyspark.sql import functions as F
 
@@ -59,3 +59,11 @@ def test_encoding_finds_signal_and_drops_constant_units(spark):
     df = spark.createDataFrame(rows, "u long, i long, fold int, x double, y double, off double")
     got = {r.u: r for r in encode_units(df, "u", ["x"], "y", "off", "fold", "i", permutations=19).collect()}
     assert got[0].p_perm == 0.05 and got[0].r2 > 0.1 and got[2].drop_reason
+
+
+def test_speaker_windows_by_target_and_others(spark):
+    words = spark.createDataFrame([(1, True, 100.0, 200.0), (2, False, 100.0, 200.0), (3, None, 100.0, 200.0), (4, True, 50.0, 40.0)], "id long, own boolean, onset double, offset double")
+    run = lambda mode, **k: {r.id: (r.start, r.end) for r in speaker_windows(words, mode, F.col("own"), k, k).collect()}
+    assert run("duration_shifted_window", shift=30) == {1: (70, 170), 2: (130, 230), 3: (130, 230)}
+    assert run("target_vs_other") == {1: (-400, 100), 2: (100, 700), 3: (100, 700), 4: (-450, 50)}
+    assert run("target_vs_other_fixed_window_from_ref", ref="offset", shift=5, length=10)[4] == (45, 55)
