@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from lumengrid.operators import linear
 from lumengrid.plans import linear as plans
-from lumengrid.sources import results  # noqa: F401
 from pyspark.sql import functions as F
 
 
