@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixture, ogg, packing, quality, substrings, toxicity, urls
+from . import chat, infilling, jaccard, lines, mixture, ogg, packing, quality, substrings, toxicity, urls
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +82,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.examine(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infilling.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = infilling.restored(F.col("output"), F.col("form"))
+    return out.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -118,5 +127,14 @@ _OP7 = f"""with b as (select row_number() over () as r, doc_id, source as host,
  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words as kept from o"""
 
 
+_OP13 = r"""with t as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id) as h from documents),
+ u as (select *, case when t = '' then [] else regexp_extract_all(t, '[^\n]*\n|[^\n]+') end as u, [('0x' || substr(h, 8 * k + 1, 8))::bigint for k in range(4)] as h4 from t),
+ c as (select *, len(u)::bigint as n, least(h4[1] % (len(u) + 1), h4[2] % (len(u) + 1)) as a, greatest(h4[1] % (len(u) + 1), h4[2] % (len(u) + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4[4] % 100 < 50 then 'spm' else 'psm' end as form from u),
+ p as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:], '') as suf from c)
+ select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _OP2, "op5_substring_dedup": _OP5, "op7_quality_rules": _OP7}
+    return {"op13_fill_in_middle": _OP13, "op2_chat_format": _OP2, "op5_substring_dedup": _OP5, "op7_quality_rules": _OP7}
