@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, infilling, jaccard, lines, mixture, ogg, packing, quality, substrings, toxicity, urls
+from . import chat, exact, infilling, jaccard, lines, mixture, ogg, packing, quality, substrings, toxicity, urls
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +82,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.examine(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact.decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infilling.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
     again = infilling.restored(F.col("output"), F.col("form"))
@@ -127,6 +132,9 @@ _OP7 = f"""with b as (select row_number() over () as r, doc_id, source as host,
  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words as kept from o"""
 
 
+_OP12 = """with t as (select doc_id, row_number() over () as r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last, r) = 1 as kept, sha256(t) as text_sha256 from t"""
+
 _OP13 = r"""with t as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id) as h from documents),
  u as (select *, case when t = '' then [] else regexp_extract_all(t, '[^\n]*\n|[^\n]+') end as u, [('0x' || substr(h, 8 * k + 1, 8))::bigint for k in range(4)] as h4 from t),
  c as (select *, len(u)::bigint as n, least(h4[1] % (len(u) + 1), h4[2] % (len(u) + 1)) as a, greatest(h4[1] % (len(u) + 1), h4[2] % (len(u) + 1)) as b,
@@ -137,4 +145,4 @@ _OP13 = r"""with t as (select doc_id, coalesce(text, '') as t, sha256('7:' || do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_fill_in_middle": _OP13, "op2_chat_format": _OP2, "op5_substring_dedup": _OP5, "op7_quality_rules": _OP7}
+    return {"op12_exact_dedup": _OP12, "op13_fill_in_middle": _OP13, "op2_chat_format": _OP2, "op5_substring_dedup": _OP5, "op7_quality_rules": _OP7}
