@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, infilling, jaccard, lines, mixture, ogg, packing, quality, substrings, toxicity, urls
+from . import chat, exact, infilling, jaccard, lines, merkle, mixture, ogg, packing, quality, substrings, toxicity, urls
 from .common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +84,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.examine(ogg.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def _checked(row: Row, path: list, subroot: str, root: str) -> tuple:
+    again = merkle.fold(row["tampered"] or row["leaf"], path)
+    return row["order"], row["leaf"], subroot, root, merkle.digest(*merkle.siblings(path)), again, again == root
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaves = docs.select(F.col("source").alias("group"), F.col("doc_id").alias("order"), merkle.leaf(*fields, F.col("text")).alias("leaf"), F.when(altered, merkle.leaf(*fields, lower)).alias("tampered"))
+    return merkle.proofs(leaves, each=_checked, schema="doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
