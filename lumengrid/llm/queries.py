@@ -148,6 +148,41 @@ _OP7 = f"""with b as (select row_number() over () as r, doc_id, source as host,
  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words as kept from o"""
 
 
+def _op11(low: int = 7, high: int = 4) -> str:
+    """The trees' levels are laid out one by one: up to 16^low rows a source and 16^high sources; a level of one node is passed on as it is."""
+    encoded = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+    fields = " || ".join(encoded.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    bits = "xor(a, b)"  # DuckDB has no crc32
+    for _ in range(8):
+        bits = f"list_transform([{bits}], lambda c: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)[1]"
+    crc = f"xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda a, b: {bits}), 4294967295)"
+    parts = [
+        f"l as (select doc_id, source, sha256({fields} || {encoded.format('text')}) as leaf, case when {crc} % 5 = 0 then sha256({fields} || {encoded.format(lower)}) end as tampered from documents)",
+        "n as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from l)",
+        "t0 as (select source as g, i, leaf as d, count(*) over (partition by source) as n from n)", "p0 as (select doc_id, source, leaf, source as g, i, leaf as own, coalesce(tampered, leaf) as folded, '' as proof from n)",
+    ]
+
+    def climb(k: int) -> None:
+        before, after = "array_to_string(ds[:i % 16], '')", "array_to_string(ds[i % 16 + 2:], '')"
+        parts.append(f"r{k} as (select g, i // 16 as k, list(d order by i) as ds, any_value(n) as n from t{k} group by 1, 2)")
+        parts.append(f"t{k + 1} as (select g, k as i, case when n = 1 then ds[1] else sha256(array_to_string(ds, '')) end as d, (n + 15) // 16 as n from r{k})")
+        parts.append(
+            f"p{k + 1} as (select doc_id, source, leaf, p.g, i // 16 as i, case when n = 1 then own else sha256(array_to_string(ds, '')) end as own, case when n = 1 then folded else sha256({before} || folded || {after}) end as folded,"
+            f" case when n = 1 then proof else proof || {before} || {after} end as proof{', subroot' if k > low else ''} from p{k} p join r{k} r on r.g is not distinct from p.g and r.k = p.i // 16)"
+        )
+
+    for k in range(low):
+        climb(k)
+    first = low + 1
+    parts.append(f"s as (select g as source, d, row_number() over (order by encode(g) nulls first) - 1 as i, count(*) over () as n from t{low})")
+    parts.append(f"t{first} as (select 0 as g, i, d, n from s)")
+    parts.append(f"p{first} as (select doc_id, p.source, leaf, 0 as g, s.i, own, folded, proof, own as subroot from p{low} p join s on s.source is not distinct from p.source)")
+    for k in range(first, first + high):
+        climb(k)
+    return f"with {', '.join(parts)} select doc_id, leaf, subroot, own as root, sha256(proof) as proof_sha256, folded as folded_root, folded = own as verified from p{first + high}"
+
+
 _OP12 = """with t as (select doc_id, row_number() over () as r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
  select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last, r) = 1 as kept, sha256(t) as text_sha256 from t"""
 
@@ -161,4 +196,4 @@ _OP13 = r"""with t as (select doc_id, coalesce(text, '') as t, sha256('7:' || do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_exact_dedup": _OP12, "op13_fill_in_middle": _OP13, "op2_chat_format": _OP2, "op5_substring_dedup": _OP5, "op7_quality_rules": _OP7}
+    return {"op11_merkle_manifest": _op11(), "op12_exact_dedup": _OP12, "op13_fill_in_middle": _OP13, "op2_chat_format": _OP2, "op5_substring_dedup": _OP5, "op7_quality_rules": _OP7}

@@ -95,3 +95,65 @@ def line_dedup(docs, min_words):
                 kept.append(x)
         out.append((i, "\n".join(kept)))
     return out
+
+
+def copies(docs, largest=True):
+    """(doc_id, id that stays, group size, digest) of each row, and how many rows of a group stay: one."""
+    groups = defaultdict(list)
+    for i, t in docs:
+        groups[(t or "").encode().lower()].append(i)
+    out = []
+    for i, t in docs:
+        k = (t or "").encode().lower()
+        ids = [x for x in groups[k]]
+        if largest:
+            keep = max((x for x in ids if x is not None), default=None)
+        else:
+            keep = None if None in ids else min(ids)
+        out.append((i, keep, len(ids), hashlib.sha256(k).hexdigest()))
+    return out
+
+
+def digest(*inputs):
+    return hashlib.sha256("".join(inputs).encode()).hexdigest()
+
+
+def merkle(rows, fanout):
+    """(group, leaf, path, subroot, root) of ``[(group, order, leaf)]``; a path has the whole runs and places in them."""
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([digest(*out[-1][i : i + fanout]) for i in range(0, len(out[-1]), fanout)])
+        return out
+
+    def path(levels, i):
+        out = []
+        for nodes in levels[:-1]:
+            out.append((tuple(nodes[i // fanout * fanout : (i // fanout + 1) * fanout]), i % fanout))
+            i //= fanout
+        return out
+
+    groups = defaultdict(list)
+    for g, o, d in rows:
+        groups[g].append((o is not None, o or 0, d))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: levels([d for *_, d in sorted(groups[g])]) for g in order}
+    top = levels([trees[g][-1][0] for g in order]) if order else []
+    return [(g, d, tuple(path(trees[g], i) + path(top, k)), trees[g][-1][0], top[-1][0]) for k, g in enumerate(order) for i, d in enumerate(trees[g][0])]
+
+
+def infilling(doc_id, text, seed=7):
+    """(n, form, prefix, middle, suffix, output) of one text."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(h[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(units)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")):
+        return n, "plain", None, None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if h[3] % 100 < 50:
+        return n, "spm", p, m, s, f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", p, m, s, f"<P>{p}<S>{s}<M>{m}"
