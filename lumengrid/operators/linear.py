@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +51,56 @@ class Moments:
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows as a matrix, and which of them are whole."""
-    rows = column.to_pylist()
-    good = np.array([r is not None and len(r) == width and None not in r for r in rows], bool)
-    out = np.zeros((len(rows), width))
-    if good.any():
-        out[good] = np.array([r for r, g in zip(rows, good, strict=True) if g], float)
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    values = column.filter(good).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)  # null entries become NaN
+    good = good.to_numpy(zero_copy_only=False).astype(bool)
+    out = np.zeros((len(good), width))
+    out[good] = values.reshape(-1, width)
     good &= np.isfinite(out).all(1)
     out[~good] = 0
     return out, good
 
 
+def _summed(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """Partial sums ``(k, s)`` of ``(width + 1)`` squared numbers, added by ``k`` in tasks, then collected: one row for each ``k``."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(s.as_py(), float)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["k", "s"])
+
+    rows = partial.repartition("k").mapInArrow(add, "k long, s binary").collect()
+    return {r.k: np.frombuffer(r.s, float).reshape(width + 1, width + 1) for r in rows}
+
+
+def weighted_moments(df: DataFrame, vector: str, width: int, weights: str, count: int) -> list[Moments]:
+    """Moments of a vector column under each of ``count`` weights of a row (an array column): resampling, labels by draw, or fitted rates.
+
+    All weights are taken in one pass, and no row is repeated; ``count`` times ``width`` squared numbers reach the driver.
+    Rows whose vector or weights are not whole are left out.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((count, width + 1, width + 1))
+        for batch in batches:
+            x, good = matrix(batch.column(0), width)
+            w, also = matrix(batch.column(1), count)
+            good &= also
+            z = np.concatenate([np.ones((int(good.sum()), 1)), x[good]], 1)
+            for k, v in enumerate(w[good].T):
+                sums[k] += (z * v[:, None]).T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(range(count), pa.int64()), pa.array([s.tobytes() for s in sums], pa.binary())], names=["k", "s"])
+
+    share_package(df.sparkSession)
+    rows = df.select(F.col(vector).cast("array<double>").alias("v"), F.col(weights).cast("array<double>").alias("w")).mapInArrow(partial, "k long, s binary")
+    found = _summed(rows, width)
+    none = np.zeros((width + 1, width + 1))
+    return [Moments(float(s[0, 0]), s[0, 1:], s[1:, 1:]) for s in (found.get(k, none) for k in range(count))]
+
+
 def moments(df: DataFrame, vector: str, width: int, by: str | None = None) -> dict[int | None, Moments]:
     """Moments of a vector column for each value of the integer column ``by`` (few: folds or conditions), or of all rows."""
 
@@ -137,11 +178,13 @@ def applied(df: DataFrame, vector: str, width: int, maps: dict, out: str, by: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, good = matrix(batch.column(batch.num_columns - 1), width)
-            keys = batch.column(batch.num_columns - 2).to_pylist()
+            keys = batch.column(batch.num_columns - 2)
+            good &= keys.is_valid().to_numpy(zero_copy_only=False)
+            keys = keys.fill_null(0).to_numpy(zero_copy_only=False)
             rows: list = [None] * len(x)
-            for k in set(keys):
+            for k in np.unique(keys[good]).tolist():
                 a = held.value.get(k if by else None)
-                at = np.flatnonzero(good & np.array([key == k for key in keys], bool))
+                at = np.flatnonzero(good & (keys == k))
                 if a is None or not len(at):
                     continue
                 p = len(a.centre) if len(a.centre) <= len(a.weights) else len(a.weights)
