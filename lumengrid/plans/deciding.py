@@ -41,7 +41,7 @@ _RATE = "n1 / sum(n1) over (partition by u, q, c) > n0 / sum(n0) over (partition
 
 
 @query(f"""with r as (select l_linenumber as u, l_orderkey as o, (l_returnflag = 'R')::int as c, (l_extendedprice > 30000)::int as y, (l_quantity > 25)::int as x, ('0x' || substr(md5('f1:' || l_orderkey), 1, 7))::bigint % 3 as f
-  from lineitem qualify row_number() over (partition by l_linenumber, l_orderkey order by l_suppkey, l_partkey) = 1),
+  from lineitem qualify row_number() over (partition by l_linenumber, l_orderkey order by l_suppkey, l_partkey, l_extendedprice, l_quantity, l_returnflag) = 1),
  i as (select *, row_number() over (partition by u, c order by o) as i from r), s as (select u, c, q, y, row_number() over (partition by u, c, q order by case when q = 0 then '' else md5((q - 1) || ':' || o) end, o) as i from r, range(13) t(q)),
  d as (select i.u, i.c, i.o, i.x, i.f, s.q, s.y from i join s on s.u = i.u and s.c = i.c and s.i = i.i),
  n as (select u, q, c, x, sum(y)::double as n1, sum(1 - y)::double as n0 from d group by all), g as (select u, q, c, x, ({_RATE})::int as guess from n),
@@ -54,7 +54,7 @@ _RATE = "n1 / sum(n1) over (partition by u, q, c) > n0 / sum(n0) over (partition
  round((1 + (select count(*) from w n where n.u = w.u and n.q > 0 and n.across >= w.across - 1e-12)) / 13.0, 6) as p from w join ce using (u) where w.q = 0""")
 def c1_cross_condition_decoder(spark, d):
     """A fitted decoder trained on lines of one kind and tested on the other, both ways, with ceilings by folds within each and labels permuted within each (12 times); SQL has the decoder of one binary feature by counts."""
-    rows = table(spark, d, "lineitem").groupBy("l_linenumber", "l_orderkey").agg(F.min_by(F.struct("l_returnflag", "l_extendedprice", "l_quantity"), F.struct("l_suppkey", "l_partkey")).alias("r"))
+    rows = table(spark, d, "lineitem").groupBy("l_linenumber", "l_orderkey").agg(F.min_by(F.struct("l_returnflag", "l_extendedprice", "l_quantity"), F.struct("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")).alias("r"))
     rows = rows.select(
         "l_linenumber", "l_orderkey", (F.col("r.l_returnflag") == "R").cast("int").alias("c"), (F.col("r.l_extendedprice") > 30000).cast("int").alias("y"), F.array((F.col("r.l_quantity") > 25).cast("double")).alias("x"), _fold(3, "f1", "l_orderkey").alias("f")
     )

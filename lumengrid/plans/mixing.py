@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import mixed
+from ..operators import cells, mixed
 from ..operators.tables import r6, table
 from ..registry import query
 
@@ -33,3 +33,42 @@ def m14_partial_pooling(spark, d):
         "l_linenumber", "raw_mean", F.round("u", 4).alias("deviation"), F.round(F.col("u") + float(fit.beta[0]), 4).alias("pooled_mean"),
         rounded(fit.small_variance, 4).alias("category_variance"), rounded(fit.large_variance, 4).alias("unit_variance"), rounded(fit.error_variance, 5).alias("error_variance"),
     )
+
+
+_STEPS, _CELLS = 8, 5
+
+
+def _rounds() -> str:
+    """SQL of the same k-means, its rounds one after the other; ``a{k}`` has each row's cell in round ``k``."""
+    parts = ["""z as (select *, row_number() over () as id from (select l_orderkey as o, l_linenumber as l, l_quantity, l_extendedprice, l_discount, l_tax,
+ (l_quantity - avg(l_quantity) over ()) / stddev_pop(l_quantity) over () as x, (l_extendedprice - avg(l_extendedprice) over ()) / stddev_pop(l_extendedprice) over () as y, (l_discount - avg(l_discount) over ()) / stddev_pop(l_discount) over () as w from lineitem))"""]
+    parts.append(f"c0 as (select row_number() over (order by md5('cells:' || o || ':' || l), o, l, l_quantity, l_extendedprice, l_discount) - 1 as cell, x, y, w from z qualify cell < {_CELLS})")
+    for k in range(_STEPS):
+        parts.append(f"a{k} as (select id, min({{'d': (z.x - c.x) ** 2 + (z.y - c.y) ** 2 + (z.w - c.w) ** 2, 'cell': c.cell}}) as hit from z, c{k} c group by id)")
+        parts.append(f"c{k + 1} as (select c.cell, coalesce(m.x, c.x) as x, coalesce(m.y, c.y) as y, coalesce(m.w, c.w) as w from c{k} c left join (select hit.cell as cell, avg(x) as x, avg(y) as y, avg(w) as w from a{k} join z using (id) group by 1) m using (cell))")
+    parts.append(f"f as (select id, min({{'d': (z.x - c.x) ** 2 + (z.y - c.y) ** 2 + (z.w - c.w) ** 2, 'cell': c.cell}}) as hit from z, c{_STEPS} c group by id)")
+    return ", ".join(parts)
+
+
+def _found(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    fit = cells.kmeans(rows, ["l_quantity", "l_extendedprice", "l_discount"], _CELLS, ["l_orderkey", "l_linenumber"], "cells", _STEPS)
+    return rows, fit
+
+
+@query(f"with {_rounds()} select c.cell::int as cell, count(id) as n, round(any_value(c.x), 4) as quantity, round(any_value(c.y), 4) as price, round(any_value(c.w), 4) as discount, round(sum(hit.d), 2) as inertia from c{_STEPS} c left join f on f.hit.cell = c.cell group by 1")
+def f17_kmeans_cells(spark, d):
+    """cells of lines with like quantity, price and discount, by eight rounds of k-means from hash-chosen seeds."""
+    rows, fit = _found(spark, d)
+    at = rows.select(fit.nearest().alias("at")).groupBy("at.cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("at.distance"), 2).alias("inertia"))
+    centres = spark.createDataFrame([(i, *(round(v, 4) for v in c)) for i, c in enumerate(fit.centroids)], "cell int, quantity double, price double, discount double")  # one row a cell
+    return F.broadcast(centres).join(at, "cell", "left").fillna(0, ["n"])
+
+
+@query(f"""with {_rounds()}, r as (select o, l, l_tax, hit.cell as cell, row_number() over (partition by hit.cell order by md5('n12-to:' || o || ':' || l), o, l, l_tax) as i, row_number() over (partition by hit.cell order by md5('n12-from:' || o || ':' || l), o, l, l_tax) as j from z join f using (id))
+ select a.o as l_orderkey, a.l as l_linenumber, a.cell::int as cell, a.l_tax, b.l_tax as drawn_l_tax from r a join r b on a.cell = b.cell and a.i = b.j""")
+def n12_matched_shuffle(spark, d):
+    """A feature permuted among lines of one cell, so that it only goes to lines with like controls; a cell with very many lines is ranked in parts."""
+    rows, fit = _found(spark, d)
+    at = rows.select("l_orderkey", "l_linenumber", "l_tax", fit.nearest().getField("cell").alias("cell"))
+    return cells.shuffled_inside(at, ["cell"], ["l_orderkey", "l_linenumber"], ["l_tax"], "n12")
