@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import encoding, weighted
+from ..operators import encoding, nested, weighted
 from ..operators.tables import r6
 from ..registry import query
 from .models import _responses
@@ -72,3 +73,37 @@ def m10_effective_freedom(spark, d):
     one = weighted.effective_freedom(rows, "user_id", ["c", "s"], "w", 3.0).select("unit", r6(F.col("exact")).alias("weighted"))
     two = weighted.effective_freedom(rows, "user_id", ["c", "s"], None, 3.0).select("unit", r6(F.col("exact")).alias("linear"))
     return one.join(two, "unit").withColumnRenamed("unit", "user_id")
+
+
+def _crossed(spark, d):
+    """Bins of units by a category (level over 50) and a condition (odd bins), with folds in which every cell has its share; units with four rows in each cell at least."""
+    rows = _responses(spark, d).withColumn("a", (F.col("level") > 50).cast("int")).withColumn("b", (F.pmod("bin", F.lit(2)) == 1).cast("int"))
+    cell = Window.partitionBy("user_id", "a", "b")
+    rows = rows.withColumn("fold", (F.row_number().over(cell.orderBy("bin")) - 1) % 3).withColumn("k", F.count(F.lit(1)).over(cell))
+    least = rows.groupBy("user_id").agg(F.min("k").alias("k"), F.countDistinct("a", "b").alias("cells")).filter("k >= 4 and cells = 4").select("user_id")
+    return rows.join(least, "user_id").select("user_id", "bin", "fold", "y", "a", "b", (F.col("a") * F.col("b")).alias("ab"))
+
+
+_MODELS = nested.Models((), ("a", "b"), ("a", "b", "ab"))
+_ONE = nested.Models((), ("a",), ("a", "b", "ab"))
+
+
+@query("""with e as (select user_id as u, floor(epoch_us(ts) / 21600000000)::bigint as bin, count(*) as y, (avg(value) > 50)::int as a from events group by 1, 2), r as (select *, (bin % 2 + 2) % 2 as b from e),
+ c as (select *, (row_number() over (partition by u, a, b order by bin) - 1) % 3 as f, count(*) over (partition by u, a, b) as k from r), ok as (select u from c group by 1 having min(k) >= 4 and count(distinct 2 * a + b) = 4 and stddev_pop(y) > 0), s as (select c.* from c join ok using (u)),
+ m0 as (select t.u, t.f, avg(o.y) as mu from (select distinct u, f from s) t join s o on o.u = t.u and o.f <> t.f group by 1, 2), m1 as (select t.u, t.f, o.a, avg(o.y) as mu from (select distinct u, f from s) t join s o on o.u = t.u and o.f <> t.f group by 1, 2, 3),
+ m2 as (select t.u, t.f, o.a, o.b, avg(o.y) as mu from (select distinct u, f from s) t join s o on o.u = t.u and o.f <> t.f group by 1, 2, 3, 4),
+ l as (select s.u, s.f, count(*) as n, sum(s.y * ln(m0.mu) - m0.mu - lgamma(s.y + 1)) as l0, sum(s.y * ln(m1.mu) - m1.mu - lgamma(s.y + 1)) as l1, sum(s.y * ln(m2.mu) - m2.mu - lgamma(s.y + 1)) as l2
+  from s join m0 using (u, f) join m1 using (u, f, a) join m2 using (u, f, a, b) group by 1, 2)
+ select u::varchar as unit, sum(n)::bigint as n, round(sum(l0), 4) as ll_null, round(sum(l1), 4) as ll_reduced, round(sum(l2), 4) as ll_full, round(avg((l2 > l0 + 1e-6)::int), 4) as positive_folds, round(avg((l2 > l1 + 1e-6)::int), 4) as interaction_folds from l group by 1""")
+def m13_nested_models(spark, d):
+    """Null, category, and category by condition models without penalty in stratified folds; SQL has them as rates of cells."""
+    out = nested.compare(_crossed(spark, d), "user_id", _ONE, "y", "fold", "bin", (0.0,))
+    r4 = lambda c: F.round(c, 4).alias(c)
+    return out.filter("drop_reason is null").select("unit", "n", *map(r4, ("ll_null", "ll_reduced", "ll_full", "positive_folds", "interaction_folds")))
+
+
+@query()
+def n17_reduced_bootstrap(spark, d):
+    """The interaction's gain against 200 draws from each unit's fit without it, both models refitted to every draw."""
+    out = nested.bootstrap(_crossed(spark, d), "user_id", _MODELS, "y", "fold", "bin")
+    return out.select("unit", F.round("deviance", 3).alias("deviance"), "draws", r6(F.col("p")).alias("p"))

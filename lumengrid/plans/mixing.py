@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, mixed
+from ..operators import balance, cells, mixed
 from ..operators.tables import r6, table
 from ..registry import query
+from .testing import _simpson
 
 
 def _cells(spark, d):
@@ -72,3 +73,26 @@ def n12_matched_shuffle(spark, d):
     rows, fit = _found(spark, d)
     at = rows.select("l_orderkey", "l_linenumber", "l_tax", fit.nearest().getField("cell").alias("cell"))
     return cells.shuffled_inside(at, ["cell"], ["l_orderkey", "l_linenumber"], ["l_tax"], "n12")
+
+
+_SIDES = "e as (select vec_id, label, (vec_id % (label % 3 + 2) = 0)::int as c from embeddings)"
+_TAIL = _simpson("2 * pow(v, df - 1) * exp(-v * v / 2) / exp(df / 2.0 * ln(2) + lgamma(df / 2.0))", "sqrt(chi2)", 2000)
+
+
+@query(f"""with recursive {_SIDES}, n as (select label, count(*) filter (where c = 0) as a, count(*) filter (where c = 1) as b from e group by 1),
+ st(k, a, b) as (select 0, list(a order by label), list(b order by label) from n union all
+  select k + 1, case when side = 0 then list_transform(range(1, len(a) + 1), lambda i: case when i = row then b[i] else a[i] end) else a end, case when side = 1 then list_transform(range(1, len(a) + 1), lambda i: case when i = row then a[i] else b[i] end) else b end
+  from (select *, (list_position(r, list_max(r)) + 1) // 2 as row, (list_position(r, list_max(r)) - 1) % 2 as side, 1 - {_TAIL} as p from
+   (select *, list_transform(range(2 * len(a)), lambda i: case when i % 2 = 0 then (a[i // 2 + 1] - ea[i // 2 + 1]) / sqrt(ea[i // 2 + 1]) else (b[i // 2 + 1] - eb[i // 2 + 1]) / sqrt(eb[i // 2 + 1]) end) as r,
+     list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] - ea[i]) ** 2 / ea[i] + (b[i] - eb[i]) ** 2 / eb[i])) as chi2, len(a) - 1.0 as df from
+    (select *, list_transform(range(1, len(a) + 1), lambda i: (a[i] + b[i]) * list_sum(a) / (list_sum(a) + list_sum(b))::double) as ea, list_transform(range(1, len(a) + 1), lambda i: (a[i] + b[i]) * list_sum(b) / (list_sum(a) + list_sum(b))::double) as eb from st)))
+  where p < 0.05 and list_max(r) > 0 and case when side = 0 then a[row] > b[row] else b[row] > a[row] end),
+ q as (select unnest(list_sort((select list(label) from n))) as label, unnest(a) as q0, unnest(b) as q1 from st order by k desc limit (select count(*) from n)),
+ w as (select *, row_number() over (partition by label, c order by md5('b1:' || vec_id), vec_id) as at_ from e)
+ select w.label, w.c, count(*) as n, count(*) filter (where at_ <= case when c = 0 then q0 else q1 end) as kept, coalesce(sum(vec_id) filter (where at_ <= case when c = 0 then q0 else q1 end), 0)::bigint as ids from w join q using (label) group by 1, 2""")
+def b1_balanced_until_alike(spark, d):
+    """B1: rows of two conditions, down-sampled cell by cell until the conditions are spread over classes alike (p of at least 0.05)."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % (F.col("label") % 3 + 2) == 0).cast("int").alias("c"))
+    kept = balance.balanced(e, "label", "c", ["vec_id"], "b1").select("vec_id").withColumn("stays", F.lit(1))
+    both = e.join(kept, "vec_id", "left")
+    return both.groupBy("label", "c").agg(F.count(F.lit(1)).alias("n"), F.count("stays").alias("kept"), F.coalesce(F.sum(F.when(F.col("stays") == 1, F.col("vec_id"))), F.lit(0)).alias("ids"))
