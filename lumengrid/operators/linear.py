@@ -8,6 +8,7 @@ greatest size is positive.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,8 +62,8 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def _summed(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Partial sums ``(k, s)`` of ``(width + 1)`` squared numbers, added by ``k`` in tasks, then collected: one row for each ``k``."""
+def _flat_frame(partial: DataFrame) -> DataFrame:
+    """Partial sums ``(k, s)``, ``s`` the bytes of numbers, added by ``k``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -72,8 +73,17 @@ def _summed(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["k", "s"])
 
-    rows = partial.repartition("k").mapInArrow(add, "k long, s binary").collect()
-    return {r.k: np.frombuffer(r.s, float).reshape(width + 1, width + 1) for r in rows}
+    return partial.repartition("k").mapInArrow(add, "k long, s binary")
+
+
+def _flat_sums(partial: DataFrame) -> dict[int, np.ndarray]:
+    """The same, collected: one row for each ``k``."""
+    return {r.k: np.frombuffer(r.s, float) for r in _flat_frame(partial).collect()}
+
+
+def _summed(partial: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """Partial sums ``(k, s)`` of ``(width + 1)`` squared numbers, added by ``k``."""
+    return {k: s.reshape(width + 1, width + 1) for k, s in _flat_sums(partial).items()}
 
 
 def weighted_moments(df: DataFrame, vector: str, width: int, weights: str, count: int) -> list[Moments]:
@@ -146,6 +156,58 @@ def principal(m: Moments, k: int, standardise: bool = False) -> Affine:
     return Affine(m.mean, w / scale[:, None])
 
 
+def leading(df: DataFrame, vector: str, width: int, k: int, standardise: bool = False, oversample: int = 10, powers: int = 2, seed: str = "range") -> Affine:
+    """The first ``k`` components of vectors too wide for a matrix of their products, by a randomised range finder.
+
+    ``k + oversample`` test vectors come from hashes.  Each of the ``powers`` passes, and one more for the values, adds up ``x (x' q)`` over the rows, ``width`` times
+    ``k + oversample`` numbers a task; centre and scale are worked in afterwards.  Signs and scaling are those of :func:`principal`.
+    """
+    wide = min(k + oversample, width)
+
+    def pass_over(q: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, their sum, the sum of squares, and ``X' X q``."""
+        held = df.sparkSession.sparkContext.broadcast(q)  # width times (k + oversample) numbers
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total, squares, inner = 0.0, np.zeros(width), np.zeros(width), np.zeros(held.value.shape)
+            for batch in batches:
+                x, good = matrix(batch.column(0), width)
+                x = x[good]
+                n, total, squares, inner = n + len(x), total + x.sum(0), squares + (x * x).sum(0), inner + x.T @ (x @ held.value)
+            flat = np.concatenate([[n], total, squares, inner.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["k", "s"])
+
+        rows = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(partial, "k long, s binary")
+        # tasks are added up in some groups first, so that one task never has the sums of all
+        salted = rows.withColumn("k", F.spark_partition_id().cast("long") % 64)
+        flat = sum((v for v in _flat_sums(_flat_frame(salted).withColumn("k", F.lit(0).cast("long"))).values()), np.zeros(1 + 2 * width + q.size))
+        held.unpersist()
+        return flat[0], flat[1 : 1 + width], flat[1 + width : 1 + 2 * width], flat[1 + 2 * width :].reshape(q.shape)
+
+    share_package(df.sparkSession)
+    q = np.linalg.qr(np.array([[int(hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()[:8], 16) / 2**31 - 1 for j in range(wide)] for i in range(width)]))[0]
+    scale = np.ones(width)
+    for step in range(powers + 1):
+        if standardise and not step:
+            n, total, squares, _ = pass_over(q)
+            mean = total / max(n, 1)
+            sd = np.sqrt(np.maximum(squares / max(n, 1) - mean**2, 0))
+            scale = np.where(sd > 1e-7 * (1 + np.abs(mean)), sd, 1.0)
+        n, total, _, inner = pass_over(q / scale[:, None])
+        mean = total / max(n, 1)
+        # products of centred, scaled rows with q
+        moved = (inner - n * np.outer(mean, mean @ (q / scale[:, None]))) / scale[:, None]
+        if step < powers:
+            q = np.linalg.qr(moved)[0]
+    values, vectors = np.linalg.eigh((q.T @ moved + moved.T @ q) / 2)
+    w = (q @ vectors[:, ::-1])[:, :k]
+    w = w * np.sign(w[np.abs(w).argmax(0), range(w.shape[1])])
+    if standardise:
+        sd = np.sqrt(np.maximum(values[::-1][:k], 0) / max(n, 1))
+        w = w / np.where(sd > 1e-9, sd, 1.0)
+    return Affine(mean, w / scale[:, None])
+
+
 def eraser(m: Moments, concepts: int) -> Affine:
     """For vectors whose last ``concepts`` entries are the concept: the least change of the others after which none correlates with it.
 

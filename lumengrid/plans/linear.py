@@ -40,6 +40,14 @@ def f3_standardised_components(spark, d):
     return scores.select(F.posexplode("scores").alias("c", "y")).groupBy(F.col("c").cast("long").alias("component")).agg(r6(F.avg("y")).alias("mean"), r6(F.var_pop("y")).alias("variance"))
 
 
+@query()
+def f3_randomised_components(spark, d):
+    """eight components of standardised columns by the randomised range finder; tests hold them against the exact ones."""
+    v = _vectors(spark, d).select("vec_id", "v")
+    scores = linear.applied(v, "v", WIDTH, {None: linear.leading(v, "v", WIDTH, 8, True)}, "scores")
+    return scores.select("vec_id", F.transform("scores", lambda y: F.round(y, 4)).alias("scores"))
+
+
 @query()
 def f4_components_by_fold(spark, d):
     """standardise, reduce, standardise, fitted for each fold on the other folds' rows, from one pass of sums by fold."""

@@ -66,3 +66,27 @@ def test_constant_columns_and_no_rows(spark):
 def test_registered_folds_have_no_null_scores(spark):
     got = plans.f4_components_by_fold(spark, "/root/testdata/sf0.001")
     assert got.filter("scores is null or size(scores) <> 8").isEmpty()
+
+
+@pytest.mark.parametrize("standardise", [False, True])
+def test_randomised_components_equal_exact_ones(spark, standardise):
+    rng = np.random.default_rng(8)
+    basis = np.linalg.qr(rng.normal(size=(200, 40)))[0]
+    x = rng.normal(size=(300, 40)) * 0.5 ** np.arange(40) @ basis.T * 10 + rng.normal(size=200)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None), (901, [1.0]), (902, [float("nan")] * 200)], "i int, v array<double>").repartition(5)
+    fast = linear.leading(df, "v", 200, 5, standardise)
+    exact = linear.principal(linear.moments(df, "v", 200)[None], 5, standardise)
+    a, b = np.linalg.qr(fast.weights)[0], np.linalg.qr(exact.weights)[0]
+    # the sine of the largest angle between both spaces
+    assert np.linalg.norm(b - a @ (a.T @ b), 2) < (1e-6 if not standardise else 1e-3)
+    assert np.allclose(fast.centre, exact.centre) and np.allclose(fast.weights[:, :3], exact.weights[:, :3], atol=1e-5 * np.abs(exact.weights).max())
+
+
+def test_weighted_moments_are_those_of_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    x, w = rng.normal(size=(50, 3)), rng.integers(0, 3, (50, 4)).astype(float)
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, w, strict=True)] + [(None, [1.0] * 4), ([1.0, 2.0, 3.0], None), ([1.0, None, 3.0], [1.0] * 4)], "v array<double>, w array<double>").repartition(3)
+    for k, m in enumerate(linear.weighted_moments(df, "v", 3, "w", 4)):
+        again = np.repeat(x, w[:, k].astype(int), 0)
+        assert m.n == len(again) and np.allclose(m.total, again.sum(0)) and np.allclose(m.products, again.T @ again)
+    assert linear.weighted_moments(df.filter("false"), "v", 3, "w", 2)[1].n == 0
