@@ -35,6 +35,10 @@ def _away(x: Column) -> Column:
     return F.when(F.abs(x) < _TINY, F.lit(_TINY)).otherwise(x)
 
 
+def _not_negative(x: Column) -> Column:
+    return F.when(x < 0, F.lit(0.0)).otherwise(x)
+
+
 def _fraction(steps: Column, first: Column, numerator, denominator) -> Column:
     """``1 / (first + n1 / (d1 + n2 / (d2 + ...)))`` from the front, by ratios of successive convergents."""
 
@@ -88,7 +92,7 @@ def normal_upper(z: Column) -> Column:
 
 def chi_square_upper(x: Column, df: Column) -> Column:
     """P(X > x) with ``df`` degrees of freedom."""
-    return F.when(df > 0, gamma_upper(df / 2, F.greatest(x, F.lit(0.0)) / 2))
+    return F.when(df > 0, gamma_upper(df / 2, _not_negative(x) / 2))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
@@ -104,7 +108,7 @@ def t_upper(t: Column, df: Column) -> Column:
 
 def f_upper(f: Column, df1: Column, df2: Column) -> Column:
     """P(F > f)."""
-    return F.when((df1 > 0) & (df2 > 0), beta_lower(df2 / 2, df1 / 2, df2 / (df2 + df1 * F.greatest(f, F.lit(0.0)))))
+    return F.when((df1 > 0) & (df2 > 0), beta_lower(df2 / 2, df1 / 2, df2 / (df2 + df1 * _not_negative(f))))
 
 
 def t_critical(two_sided: float, df: Column) -> Column:

@@ -20,6 +20,46 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     return keyed.join(laid, ["_b", *on]).filter(inside).drop("_b")
 
 
+def counts_before(points: DataFrame, marks: DataFrame, at: str, mark: str, width: int, on: tuple[str, ...] = (), out: str = "before") -> DataFrame:
+    """Adds to ``marks`` how many points of equal ``on`` lie before ``mark``; nothing is paired, so dense points cost no more than their number.
+
+    Time is cut into buckets of ``width``: a running count inside each, and the counts of whole buckets before it.  Counts of points in ``[a, b)`` are differences of two of these.
+    Marks without a time get null; null keys are a key of their own.
+    """
+    both = marks.select("*", F.col(mark).alias("_t"), F.lit(0).alias("_n"), F.lit(1).alias("_mine")).unionByName(points.select(*on, F.col(at).alias("_t"), F.lit(1).alias("_n"), F.lit(0).alias("_mine")).filter("_t is not null"), allowMissingColumns=True)
+    both = both.withColumn("_b", F.floor(F.col("_t") / width))
+    totals = both.groupBy(*on, "_b").agg(F.sum("_n").alias("_k"))
+    earlier = Window.partitionBy(*on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    starts = totals.select(*(F.col(c).alias(f"_on_{c}") for c in on), F.col("_b").alias("_bucket"), F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_start"))
+    # marks come before points of the same time, so that these are not counted
+    inside = Window.partitionBy(*on, "_b").orderBy("_t", F.desc("_mine")).rowsBetween(Window.unboundedPreceding, 0)
+    mine = both.withColumn("_run", F.sum("_n").over(inside)).filter("_mine = 1")
+    same = F.col("_b").eqNullSafe(F.col("_bucket"))
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    counted = F.when(F.col("_t").isNotNull(), F.col("_start") + F.col("_run"))
+    return mine.join(starts, same).select(*marks.columns, counted.alias(out))
+
+
+def annotated(words: DataFrame, speaker: str, own: str, target: tuple[float, float] = (0, 0), other: tuple[float, float] = (0, 0), fixed: float | None = None) -> DataFrame:
+    """Adds ``word_dur``, ``regress_dur``, ``regress_pre_onset`` and ``regress_post_offset`` to words with ``onset`` and ``offset``.
+
+    Windows reach ``(before, after)`` beyond the word, by speaker, or have the length ``fixed`` from its onset; words without a time or speaker have null ones.
+    """
+    mine = F.col(speaker) == own
+    begin = F.col("onset") - (F.lit(0.0) if fixed is not None else F.when(mine, float(target[0])).otherwise(float(other[0])))
+    end = F.col("onset") + float(fixed) if fixed is not None else F.col("offset") + F.when(mine, float(target[1])).otherwise(float(other[1]))
+    known = F.col(speaker).isNotNull() & F.col("onset").isNotNull() & F.col("offset").isNotNull()
+    return words.withColumn("word_dur", F.col("offset") - F.col("onset")).withColumn("regress_pre_onset", F.when(known, begin)).withColumn("regress_post_offset", F.when(known, end)).withColumn("regress_dur", F.col("regress_post_offset") - F.col("regress_pre_onset"))
+
+
+def annotated_from(words: DataFrame, windows: DataFrame, speaker: str, order: list[str]) -> DataFrame:
+    """The same from extracted windows ``(speaker, i, pre_onset, post_offset, duration)``: the ``i``-th word of a speaker (from 1, in ``order``) has the ``i``-th window, or null ones."""
+    counted = words.withColumn("_i", F.row_number().over(Window.partitionBy(speaker).orderBy(*order)))
+    found = windows.select(F.col(speaker).alias("_speaker"), F.col("i").alias("_at"), F.col("pre_onset").alias("regress_pre_onset"), F.col("post_offset").alias("regress_post_offset"), F.col("duration").alias("regress_dur"))
+    return counted.join(found, (F.col(speaker) == F.col("_speaker")) & (F.col("_i") == F.col("_at")), "left").withColumn("word_dur", F.col("offset") - F.col("onset")).drop("_i", "_speaker", "_at")
+
+
 def nearest_gap(left: DataFrame, right: DataFrame, at: str, other: str, on: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``gap``, the distance from ``at`` to the nearest ``other`` of equal ``on`` (null where there is none), by one sorted pass."""
     tagged = left.select("*", F.col(at).alias("_t"), F.lit(None).cast("long").alias("_o"), F.lit(1).alias("_mine"))
@@ -45,6 +85,8 @@ MODES = {
     "onset_to_offset": ("onset", "offset"),
     "onset_to_offset_plus": ("onset", "offset + post"),
     "onset_to_onset_plus": ("onset", "onset + post"),
+    "pre_to_offset_plus": ("onset - pre", "offset + post"),
+    "onset_to_offset_plusminus": ("onset - pre", "offset + post"),
     "offset_plus_minus": ("offset - pre", "offset + post"),
 }
 
