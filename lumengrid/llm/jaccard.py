@@ -38,6 +38,8 @@ from .graph import components
 from .text import shingle_hashes, word_hashes
 
 BITS = 58
+#: Bytes in an Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -275,6 +277,8 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id)``, a row per row."""
     spark = docs.sparkSession
     small_batches(spark)
+    # sets of long texts are large: batches end at this many bytes too
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summaries = written(docs.mapInArrow(_summaries(cfg), "doc_id long, n long, node long, part int, counts binary"), "summaries")
     rows = summaries.filter("part is null").select("doc_id", "n", "node")
@@ -323,27 +327,44 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
 
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def by_root() -> DataFrame:
-        return groups.join(_checked(roots, cfg), "node", "left").withColumn("root", F.coalesce("root", "node"))
-
+    def divided(named: DataFrame, least: int) -> DataFrame:
+        """The rows at shingles with at least ``least`` components (``parts``)."""
+        named = written(named, "rooted")
+        apart = written(named.select("token", "root").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") >= least), "apart")
+        out = written(named.join(_checked(apart, cfg), "token"), "divided")
+        release(named, apart)
+        return out
+
+    def moved(old: DataFrame, new: DataFrame) -> DataFrame:
+        """``(node, to)`` of the roots in ``old``, single nodes included, that are none in ``new``; components only grow, so these are few."""
+        gone = new.filter("node <> root").select("node", F.col("root").alias("to"))
+        return written(gone.join(old.filter("node <> root").select("node"), "node", "left_anti"), "moved")
+
+    def renamed(own: DataFrame, to: DataFrame) -> DataFrame:
+        there = _checked(to.withColumnRenamed("node", "_was"), cfg)
+        return own.join(there, F.col("root") == F.col("_was"), "left").withColumn("root", F.coalesce("to", "root")).drop("_was", "to")
+
+    named = groups.select("token", "node", "n", "pos", "after").join(_checked(roots, cfg), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own, first_roots, spent = divided(named, 2), roots, [groups]
+    crowded = own.filter(F.col("parts") > cfg.crowd)
     for attempt in range(cfg.rounds):
-        crowded = by_root().select("token", "root").distinct().groupBy("token").count().filter(F.col("count") > cfg.crowd).select("token")
-        crowded = written(crowded, "crowded")
-        at = by_root().join(_checked(crowded, cfg), "token")
-        some = at.groupBy("token").agg(F.max(F.struct(F.xxhash64("token", "node", F.lit(attempt)).alias("order"), "node", "n", "pos", "after", "root")).alias("h"))
-        met = at.join(some, "token").filter(F.col("root") != F.col("h.root"))
+        some = crowded.groupBy("token").agg(F.max(F.struct(F.xxhash64("token", "node", F.lit(attempt)).alias("order"), "node", "n", "pos", "after", "root")).alias("h"))
+        met = crowded.join(some, "token").filter(F.col("root") != F.col("h.root"))
         met = met.filter(_may_link(cfg.percent, tuple(map(F.col, ("n", "pos", "after"))), tuple(map(F.col, ("h.n", "h.pos", "h.after")))))
         more = met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
         more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        release(crowded)
         if more.isEmpty():
             break
         tested, links = tested.unionByName(more), links.unionByName(linked(more))
-        roots = written(components(links), "roots")
+        before, roots = roots, written(components(links), "roots")
+        if attempt + 1 < cfg.rounds:
+            # a shingle that is not crowded will not be again
+            crowded = divided(renamed(crowded.drop("parts"), moved(before, roots)), cfg.crowd + 1)
+            spent.append(crowded)
+    if roots is not first_roots:
+        spent.append(own)
+        own = written(renamed(own, moved(first_roots, roots)), "own")
 
-    own = by_root()
-    apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    own = written(own.join(apart, "token"), "apart")
     # by component first: the most that any of its sets could share from this shingle on
     sides = own.groupBy("token", "root").agg(F.min("n").alias("short"), F.max("n").alias("long"), F.max("after").alias("after"), F.max(F.col("n") - F.col("pos")).alias("left"), F.count(F.lit(1)).alias("nodes"))
     other = sides.select("token", *(F.col(c).alias(c + "2") for c in ("root", "short", "long", "after", "left", "nodes")))
@@ -360,7 +381,7 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     cross = a.join(facing, ["token", "root"]).join(b, ["token", "root2"]).filter(_may_link(cfg.percent, tuple(map(F.col, ("sa", "oa", "fa"))), tuple(map(F.col, ("sb", "ob", "fb")))))
     second = cross.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
     second = written(second.join(tested, ["a", "b"], "left_anti"), "pairs")
-    release(own, groups, facing_)
+    release(own, facing_, *spent)
     links = links.unionByName(linked(second))
     roots = components(links)
 
