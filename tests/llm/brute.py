@@ -157,3 +157,52 @@ def infilling(doc_id, text, seed=7):
     if h[3] % 100 < 50:
         return n, "spm", p, m, s, f"<S>{s}<P>{p}<M>{m}"
     return n, "psm", p, m, s, f"<P>{p}<S>{s}<M>{m}"
+
+
+def url_templates(counts, branches=20, z=1.96, strength=10.0):
+    """(host, shape): (template, purity) of ``{(host, shape): [good, seen]}``, node by node."""
+    prior = (sum(g for g, _ in counts.values()) + 1) / (sum(n for _, n in counts.values()) + 2)
+    names = {}
+
+    def grow(rows, node, k):
+        """``rows`` share a node at depth ``k``."""
+        if len(rows) == 1:
+            host, shape = rows[0]
+            names[rows[0]] = "/".join([node, *shape[k:]])
+            return
+        wide = len({s[k] for _, s in rows}) > branches
+        for last in (False, True):
+            kids = defaultdict(list)
+            for r in rows:
+                if (len(r[1]) == k + 1) == last:
+                    kids["*" if wide else r[1][k]].append(r)
+            sums = {c: [sum(counts[r][i] for r in rs) for i in (0, 1)] for c, rs in kids.items()}
+            share = lambda g, n: (g + strength * prior) / (n + strength)
+            groups = []
+            for c in sorted(kids, key=lambda c: (share(*sums[c]), c)):
+                q, w = share(*sums[c]), sums[c][1] + strength
+                if groups:
+                    members, g, n = groups[-1]
+                    p = share(g, n)
+                    if q - p <= z * (p * (1 - p) / (n + strength) + q * (1 - q) / w) ** 0.5:
+                        groups[-1] = (members + [c], g + sums[c][0], n + sums[c][1])
+                        continue
+                groups.append(([c], *sums[c]))
+            for members, *_ in groups:
+                inner = [r for c in members for r in kids[c]]
+                name = node + "/" + "//".join(sorted(members))
+                if last:
+                    names.update(dict.fromkeys(inner, name))
+                else:
+                    grow(inner, name, k + 1)
+
+    for host in {h for h, _ in counts}:
+        own = [r for r in counts if r[0] == host and r[1]]
+        names.update({r: "" for r in counts if r[0] == host and not r[1]})
+        if own:
+            grow(own, "", 0)
+    pure = defaultdict(lambda: [0.0, 0.0])
+    for (host, shape), name in names.items():
+        for i in (0, 1):
+            pure[host, name][i] += counts[host, shape][i]
+    return {(h, s): (n, (pure[h, n][0] + strength * prior) / (pure[h, n][1] + strength)) for (h, s), n in names.items()}
