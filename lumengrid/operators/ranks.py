@@ -17,12 +17,21 @@ def average_rank(by: str, within: tuple[str, ...] = ()) -> Column:
     return F.rank().over(w.orderBy(by)) + (F.count(F.lit(1)).over(w.partitionBy(*within, by)) - 1) / F.lit(2.0)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, key: str, out: str = "q") -> DataFrame:
-    """Adds adjusted p-values: p n / rank, made monotone from the largest down, at most 1."""
-    every = Window.partitionBy()
-    ranked = df.withColumn("_r", F.row_number().over(every.orderBy(p, key))).withColumn("_n", F.count(F.lit(1)).over(every))
-    down = every.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down))).drop("_r", "_n")
+def benjamini_hochberg(df: DataFrame, p: str, key: str | None = None, out: str = "q", buckets: int = 1024) -> DataFrame:
+    """Adds adjusted p-values: p n / rank, made monotone from the largest down, at most 1; null p-values do not count and stay null.
+
+    Equal p-values have one adjusted value, so distinct ones are counted first; these are summed and lessened in ``buckets`` of (0, 1), whose totals carry over.
+    """
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k")).withColumn("_b", F.least(F.floor(F.col("_p") * buckets), F.lit(buckets)))
+    totals = counts.groupBy("_b").agg(F.sum("_k").alias("_t"))
+    whole = Window.orderBy("_b")  # a row a bucket
+    totals = totals.select("_b", F.coalesce(F.sum("_t").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_n"))
+    up = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(totals, "_b").withColumn("_q", F.col("_p") * F.col("_n") / (F.col("_before") + F.sum("_k").over(up)))
+    lows = ranked.groupBy("_b").agg(F.min("_q").alias("_low")).withColumn("_later", F.min("_low").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
+    down = Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranked.join(lows.select("_b", "_later"), "_b").select("_p", F.least(F.lit(1.0), F.min("_q").over(down), "_later").alias(out))
+    return df.join(found, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def contiguous_fold(i: Column, n: Column, k: int, extra: str = "first") -> Column:

@@ -23,13 +23,13 @@ def _responses(spark, d):
 
 @query()
 def m16_encoding(spark, d):
-    """Nested-cross-validated Poisson ridge per unit, with a circular-shift null."""
+    """Nested-cross-validated Poisson ridge per unit, with a circular-shift null."""
     return encode_units(_responses(spark, d), "user_id", ["level", "spread", "top", "phase"], "y", "log_exposure", "fold", "bin", permutations=10)
 
 
 @query("select c_nationkey, round(sum((a - ma) * (b - mb)) / nullif(sum((a - ma) * (a - ma)), 0), 6) as slope from (select c_nationkey, c_acctbal as a, c_custkey::double as b, avg(c_acctbal) over (partition by c_nationkey, c_mktsegment) as ma, avg(c_custkey) over (partition by c_nationkey, c_mktsegment) as mb from customer) group by 1")
 def m15_fixed_effects(spark, d):
-    """Slope within groups, by demeaning."""
+    """Slope within groups, by demeaning."""
     c = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("a"), F.col("c_custkey").cast("double").alias("b"))
     w = Window.partitionBy("c_nationkey", "c_mktsegment")
     c = c.withColumn("a", F.col("a") - F.avg("a").over(w)).withColumn("b", F.col("b") - F.avg("b").over(w))

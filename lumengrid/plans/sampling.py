@@ -31,7 +31,7 @@ def b2_capped_clusters(spark, d):
 
 @query("select a.event_id, b.event_id as drawn from (select event_id, user_id, row_number() over (partition by user_id order by event_id) as i from events) a join (select event_id, user_id, row_number() over (partition by user_id order by md5('5:' || event_id), event_id) as i from events) b using (user_id, i)")
 def n1_row_shuffle(spark, d):
-    """Rows shuffled within units."""
+    """Rows shuffled within units, which is the draw of N4, N8 and N14 as well; refits are in `m16_nested_encoding` and `r1_r7_fitted_reliability`."""
     e = table(spark, d, "events").select("event_id", "user_id")
     a = e.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
     b = e.select("user_id", F.col("event_id").alias("drawn"), F.row_number().over(Window.partitionBy("user_id").orderBy(shuffle_key("5", "event_id"), "event_id")).alias("i"))
@@ -75,6 +75,6 @@ def n19_bootstrap(spark, d):
 
 @query("select vec_id, label from (select vec_id, label, row_number() over (partition by label order by md5('13:' || vec_id), vec_id) as r from embeddings) where r <= 12")
 def b6_b10_capped_sample(spark, d):
-    """A fixed number per group in hash order, the same on every run."""
+    """A fixed number per group in hash order, the same on every run."""
     r = F.row_number().over(Window.partitionBy("label").orderBy(shuffle_key("13", "vec_id"), "vec_id"))
     return table(spark, d, "embeddings").select("vec_id", "label", r.alias("r")).filter("r <= 12").drop("r")

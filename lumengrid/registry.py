@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules whose import registers queries.
-MODULES = ("words", "joining", "grouping", "ranking", "inference", "sampling", "models", "vectors", "decoding", "cleaning", "permuting", "exchange", "linear", "conditions", "testing", "mixing", "deciding", "geometries", "encodings", "reliabilities", "sweeping")
+MODULES = ("words", "joining", "grouping", "ranking", "inference", "sampling", "models", "vectors", "decoding", "cleaning", "permuting", "exchange", "linear", "conditions", "testing", "mixing", "deciding", "geometries", "encodings", "reliabilities", "sweeping", "balancing")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

@@ -57,3 +57,49 @@ def test_comparison_of_models(spark):
     assert all(out[f"12-{u}"].interaction > 0 and out[f"12-{u}"].positive_folds == 1 and out[f"12-{u}"].gain > out[f"12-{u}"].interaction for u in range(3))
     assert out["0-0"].ll_full is None and out["0-0"].drop_reason == "too few rows"
     assert N.compare(df.filter("false"), "u", MODELS, "y", "f", "i").collect() == [] and N.bootstrap(df.filter("u = '0-0'"), "u", MODELS, "y", "f", "i", draws=3).first().p is None
+
+
+def test_modes_of_balancing(spark):
+    rows = [(i, g, c) for g, n in (("a", (100, 60)), ("b", (40, 40)), ("c", (30, 90)), ("few", (50, 3)), (None, (9, 9))) for c in (0, 1) for i in range(n[c])]
+    df = spark.createDataFrame(rows, "i int, g string, c int")
+    want = {
+        "cap": {"a": (40, "ratio_capped_to_40"), "b": (None, None), "c": (None, None)}, "hard": dict.fromkeys("abc", (30, "hard_balanced_to_30")),
+        "soft": {"a": (40, "soft_balanced_to_40"), "b": (40, "soft_balanced_to_40"), "c": (30, "soft_balanced_to_30")}, "resample": dict.fromkeys("abc", (40, "soft_resampled_to_40")),
+    }
+    for mode, targets in want.items():
+        t = B.cluster_targets(df, "g", "c", mode)
+        got = {r.cluster: (r.target, r.drop_reason) for r in t.collect()}
+        assert got == targets | {"few": (None, "fewer_than_10_on_a_side")}, mode
+        out = B.sampled(df, "g", "c", ["i"], t, "s")
+        counts = {(r.g, r.c): r["count"] for r in out.groupBy("g", "c").count().collect()}
+        for g, (n, _) in targets.items():
+            for c in (0, 1):
+                own = sum(r[1] == g and r[2] == c for r in rows)
+                assert counts[g, c] == (n if n is not None and (mode == "resample" or own > n) else own), (mode, g, c)
+        named = B.manifest(out, ["i"], ["g", "c"])
+        again, missing = B.replayed(df.repartition(3), named, ["i"], ["g", "c"])
+        assert missing == 0 and sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
+    assert B.replayed(df.filter("i < 5"), named, ["i"], ["g", "c"])[1] > 0
+    assert B.cluster_targets(df.filter("false"), "g", "c").collect() == []
+
+
+def test_words_are_claimed_once(spark):
+    df = spark.createDataFrame([(g, f"w{(g * 7 + i) % 20}") for g in range(4) for i in range(15)] + [(0, None), (None, "w1")], "g int, w string")
+    out = B.claimed(df, "g", "w", 6, "s").collect()
+    assert len({r.word for r in out}) == len(out) and [sum(r.group == g for r in out) for g in range(3)] == [6, 6, 6]
+    assert B.claimed(df.filter("false"), "g", "w", 6, "s").collect() == []
+
+
+def test_adjusted_p_values_of_many_ties(spark):
+    from lumengrid.operators.ranks import benjamini_hochberg
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
+    p = np.concatenate([np.full(500, 0.001), rng.random(300), [0.0, 1.0, 1.0], rng.integers(1, 20, 200) / 20])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)] + [(5000, None)], "i int, p double").repartition(4)
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1].clip(max=1)
+    want = dict(zip(order.tolist(), q.tolist(), strict=True))
+    for buckets in (1, 7, 1024):
+        got = {r.i: r.q for r in benjamini_hochberg(df, "p", out="q", buckets=buckets).select("i", F.col("q")).collect()}
+        assert got.pop(5000) is None and max(abs(got[i] - want[i]) for i in want) < 1e-12
