@@ -116,3 +116,21 @@ def s8_s16_control_features(spark, d):
     s = F.when(F.col("known"), F.col("surprisal"))
     mean = F.avg(s).over(Window.partitionBy("l_suppkey"))
     return both.select("l_orderkey", "l_linenumber", "l_discount", r6(F.coalesce(s, mean, F.lit(0.0))).alias("surprisal"))
+
+
+@query("select event_type as subject, user_id, value as a, case when event_type <> 'view' then value + 1 end as b from events")
+def s11_glob_of_outputs(spark, d):
+    """Outputs of every subject, found by a pattern over their folders; some lack a column."""
+    e, root = table(spark, d, "events").select(F.col("event_type").alias("subject"), "user_id", F.col("value").alias("a")), results.new_folder(spark, "subjects")
+    e.filter("subject = 'view'").write.parquet(f"{root}/task-1")
+    e.filter("subject <> 'view'").withColumn("b", F.col("a") + 1).repartition("subject").write.parquet(f"{root}/task-2")
+    return results.read_glob(spark, f"{root}/task-*").select("subject", "user_id", "a", "b")
+
+
+@query("select vec_id, label, len(embedding) as width, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) as squares from embeddings")
+def s4_embedding_csv(spark, d):
+    """Whole vectors written to CSV as list literals and parsed from there."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    path = results.write_literals(v, "embedding", results.new_folder(spark, "embeddings"))
+    read = results.read_literals(spark, path, "embedding", "vec_id long, label int, embedding string")
+    return read.select("vec_id", "label", F.size("embedding").cast("long").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("squares"))

@@ -73,3 +73,36 @@ def r8_learning_curve(spark, d):
     """How alike coefficients of disjoint subsets are as these grow, against permuted designs."""
     out = reliability.learning_curve(_lines(spark, d), "l_suppkey", "c", _FEATURES, "y", "id", (10, 20, 40), 20, reliability.Fits(alphas=(1.0,)))
     return out.select("unit", "condition", "available", "size", *(F.round(c, 4).alias(c) for c in ("cosine", "null_cosine", "excess", "relative_variance")))
+
+
+BINS = 3
+_DISTANCES = """l as (select vec_id, label, (vec_id % 2)::int as c, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), m as (select c, i, avg(x) as m from l group by all),
+ d as (select l.vec_id, any_value(l.label) as label, l.c, 1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) as dist from l join m on m.i = l.i and m.c = 1 - l.c group by l.vec_id, l.c),
+ q as (select c, [quantile_cont(dist, 0.0), quantile_cont(dist, 1 / 3.0::double), quantile_cont(dist, 2 / 3.0::double)] as e from d group by 1),
+ bins as (select d.*, case when dist >= e[3] then 2 when dist >= e[2] then 1 else 0 end as bin from d join q using (c))"""
+
+
+def _binned(spark, d):
+    """Vectors of two conditions (odd and even) with their distance to the other condition's mean, in bins of it."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 2).cast("int").alias("c"), F.col("embedding").cast("array<double>").alias("v"))
+    means = v.groupBy("c").agg(F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(64))).alias("m")).select((1 - F.col("c")).alias("c"), "m")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    at = v.join(F.broadcast(means), "c").withColumn("dist", 1 - dot("v", "m") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("m", "m"))))  # two rows
+    edges = at.groupBy("c").agg(*(F.percentile("dist", F.lit(k / BINS)).alias(f"e{k}") for k in range(1, BINS)))
+    return at.join(F.broadcast(edges), "c").select("vec_id", "label", "c", "dist", sum(((F.col("dist") >= F.col(f"e{k}")).cast("int") for k in range(1, BINS)), F.lit(0)).alias("bin"))
+
+
+@query(f"with {_DISTANCES} select bin::int as bin, c, count(*) as n, round(avg(dist), 6) as distance, sum(vec_id)::bigint as ids from bins group by all")
+def r9_cosine_bins(spark, d):
+    """Vectors in quantile bins of their cosine distance to the other condition's mean."""
+    return _binned(spark, d).groupBy("bin", "c").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dist")).alias("distance"), F.sum("vec_id").alias("ids"))
+
+
+@query(f"""with {_DISTANCES}, r as (select bin as u, vec_id as id, label + 1 as y, c, (vec_id // 2) % 4 as k from bins), b as ({_betas('r', 'u, c')})
+ select x.u::varchar as bin, round(corr(x.b, y.b), 4) as r_cross from b x join b y on x.u = y.u and x.k = y.k and x.c < y.c group by 1""")
+def r9_bin_reliability(spark, d):
+    """Cross-correlation of both conditions' fitted coefficients in each bin."""
+    kinds = [F.when(F.floor(F.col("vec_id") / 2) % 4 == k, 1.0).otherwise(0.0).alias(f"k{k}") for k in range(1, 4)]
+    rows = _binned(spark, d).select("bin", "c", "vec_id", (F.col("label") + 1).alias("y"), *kinds)
+    out = reliability.crossed(rows, "bin", "c", ["k1", "k2", "k3"], "y", "vec_id", 20, 20, reliability.Fits(alphas=(0.0,)))
+    return out.select(F.col("unit").alias("bin"), F.round("r_cross", 4).alias("r_cross"))

@@ -51,6 +51,22 @@ def read_outputs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p) for p in paths))
 
 
+def read_glob(spark: SparkSession, pattern: str) -> DataFrame:
+    """All outputs whose folders match a pattern, as one table; the columns are those of any of them."""
+    return spark.read.option("mergeSchema", True).parquet(pattern)
+
+
+def write_literals(df: DataFrame, vector: str, path: str) -> str:
+    """CSV with a vector column as a list literal."""
+    text = F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ", ", "null"), F.lit("]"))
+    return write_csv(df.withColumn(vector, F.when(F.col(vector).isNotNull(), text)), path)
+
+
+def read_literals(spark: SparkSession, path: str, vector: str, schema: str) -> DataFrame:
+    """The same read again; ``schema`` has the vector as a string.  A text that is no list gives null."""
+    return read_csv(spark, path, schema).withColumn(vector, F.from_json(vector, "array<double>"))
+
+
 def write_summary(df: DataFrame, path: str) -> str:
     """One JSON object a row."""
     df.write.json(path)

@@ -36,3 +36,17 @@ def test_export_raises_and_writes_nothing(spark, tmp_path):
     assert not (tmp_path / "x").exists()
     results.export_checked(df, f"{tmp_path}/y", ["unit"], r"\d{3}-\d{4}")
     assert spark.read.parquet(f"{tmp_path}/y").columns == ["unit"]
+
+
+def test_list_literals_and_globs(spark):
+    from lumengrid.sources import results
+
+    df = spark.createDataFrame([(1, [1.5, -2.0]), (2, None), (3, []), (4, [None, 1.0])], "i int, v array<double>")
+    path = results.write_literals(df, "v", results.new_folder(spark, "literals"))
+    back = {r.i: r.v for r in results.read_literals(spark, path, "v", "i int, v string").collect()}
+    assert back == {1: [1.5, -2.0], 2: None, 3: [], 4: [None, 1.0]}
+    root = results.new_folder(spark, "many")
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{root}/task-1")
+    spark.createDataFrame([(2, "x")], "a int, b string").write.parquet(f"{root}/task-2")
+    spark.createDataFrame([(3,)], "a int").write.parquet(f"{root}/other")
+    assert sorted(map(tuple, results.read_glob(spark, f"{root}/task-*").select("a", "b").collect())) == [(1, None), (2, "x")]
