@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,15 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop plans, broadcasts and shuffles of work that is done: Python's references to them, then the JVM's.
+
+    Spark's cleaner frees them on executors only once the driver has collected them, which it otherwise does when its memory is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches of the Python operators of this session, and let its workers import this package.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, written
+from .common import release, small_batches, tidy, written
 from .graph import components
 from .text import shingle_hashes, word_hashes
 
@@ -276,6 +276,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, cfg: Join, whole: bool) -> Data
 def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_shingles, component_id)``, a row per row."""
     spark = docs.sparkSession
+    tidy(spark)
     small_batches(spark)
     # sets of long texts are large: batches end at this many bytes too
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -357,6 +358,7 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
             break
         tested, links = tested.unionByName(more), links.unionByName(linked(more))
         before, roots = roots, written(components(links), "roots")
+        tidy(spark)
         if attempt + 1 < cfg.rounds:
             # a shingle that is not crowded will not be again
             crowded = divided(renamed(crowded.drop("parts"), moved(before, roots)), cfg.crowd + 1)
@@ -365,6 +367,7 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
         spent.append(own)
         own = written(renamed(own, moved(first_roots, roots)), "own")
 
+    tidy(spark)
     # by component first: the most that any of its sets could share from this shingle on
     sides = own.groupBy("token", "root").agg(F.min("n").alias("short"), F.max("n").alias("long"), F.max("after").alias("after"), F.max(F.col("n") - F.col("pos")).alias("left"), F.count(F.lit(1)).alias("nodes"))
     other = sides.select("token", *(F.col(c).alias(c + "2") for c in ("root", "short", "long", "after", "left", "nodes")))
@@ -383,6 +386,7 @@ def similarity_classes(docs: DataFrame, cfg: Join = Join()) -> DataFrame:
     second = written(second.join(tested, ["a", "b"], "left_anti"), "pairs")
     release(own, facing_, *spent)
     links = links.unionByName(linked(second))
+    tidy(spark)
     roots = components(links)
 
     named = roots.join(nodes, "node")
