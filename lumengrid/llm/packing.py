@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Entries that a worker's table of encoded words may hold before it starts anew.
-MEMO = 120_000
+MEMO = 400_000
 _SIMPLE = re.compile(rb"[!-&(-;=-~]+")
 _PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
