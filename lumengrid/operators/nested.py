@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import Sets, Unit, held_out, quasi_ridges
-from .tables import share_package
+from .tables import share_package, spread
 
 
 #: Log likelihoods nearer than this count as equal.
@@ -66,7 +66,7 @@ def compare(rows: DataFrame, unit: str, models: Models, y: str, fold: str, order
 
     columns = ["unit", "n", "ll_null", "ll_reduced", "ll_full", "gain", "interaction", "positive_folds", "interaction_folds", "drop_reason"]
     share_package(rows.sparkSession)
-    return _own(rows, unit, models, y, fold, order).groupBy("unit").applyInPandas(run, "unit string, n long, " + ", ".join(f"{c} double" for c in columns[2:-1]) + ", drop_reason string")
+    return spread(_own(rows, unit, models, y, fold, order), "unit").groupBy("unit").applyInPandas(run, "unit string, n long, " + ", ".join(f"{c} double" for c in columns[2:-1]) + ", drop_reason string")
 
 
 def _gain(reduced: Unit, full: Unit, y: np.ndarray, alpha: tuple[float, float]) -> np.ndarray:
@@ -96,6 +96,6 @@ def bootstrap(rows: DataFrame, unit: str, models: Models, y: str, fold: str, ord
 
     share_package(rows.sparkSession)
     tasks = _own(rows, unit, models, y, fold, order).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))))
-    out = tasks.groupBy("unit", "first").applyInPandas(run, "unit string, deviance double, more long").groupBy("unit").agg(F.first("deviance").alias("deviance"), F.sum("more").alias("more"))
+    out = spread(tasks, "unit", "first").groupBy("unit", "first").applyInPandas(run, "unit string, deviance double, more long").groupBy("unit").agg(F.first("deviance").alias("deviance"), F.sum("more").alias("more"))
     seen = F.col("deviance").isNotNull()
     return out.select("unit", "deviance", F.when(seen, F.lit(draws)).alias("draws"), F.when(seen, (1 + F.col("more")) / (1 + F.lit(draws))).alias("p"))
