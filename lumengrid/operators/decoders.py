@@ -236,7 +236,13 @@ def decode(rows: DataFrame, unit: str, label: str, features: str, fold: str, mod
 
 def hash_permutation(keys: list[str], seed: str) -> np.ndarray:
     """Places in the order of the digests of ``seed:key``."""
-    return np.array(sorted(range(len(keys)), key=lambda i: (hashlib.md5(f"{seed}:{keys[i]}".encode()).hexdigest(), i)), int)
+    start = hashlib.md5(f"{seed}:".encode())
+    digests = []
+    for key in keys:
+        digest = start.copy()
+        digest.update(key.encode())
+        digests.append(digest.digest())
+    return np.array(sorted(range(len(keys)), key=digests.__getitem__), int)
 
 
 def cross_decode(rows: DataFrame, unit: str, label: str, features: str, condition: str, fold: str, order: str, models: tuple[Model, ...] = MODELS, permutations: int = 0, chunk: int = 20) -> DataFrame:
