@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.intervals import interval_join, nearest_gap
+from ..operators.intervals import counts_before, interval_join, nearest_gap
 from ..operators.tables import micros, r6, table
 from ..registry import query
 
@@ -19,10 +19,14 @@ SIX_HOURS = 6 * 3600 * 1_000_000
 def j1_event_rates(spark, d):
     """Events per unit in windows after each stimulus; units without any count 0."""
     events = table(spark, d, "events").select("user_id", "event_type", micros("ts").alias("t"))
-    stimuli = events.filter(F.col("event_type").isin("purchase", "view")).select(F.col("event_type").alias("cond"), F.col("t").alias("b"), (F.col("t") + SIX_HOURS).alias("e"))
-    hits = interval_join(events.select("user_id", "t"), stimuli, "t", "b", "e", SIX_HOURS).groupBy("cond", "user_id").agg(F.count(F.lit(1)).alias("hits"))
+    kinds = ("purchase", "view")
+    stimuli = events.filter(F.col("event_type").isin(*kinds)).select(F.col("event_type").alias("cond"), F.col("t").alias("b"))
+    # an event's hits are the stimuli up to it less those six hours before, so that no pair is made
+    ends = events.select("user_id", "t", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
+    at = ends.select("user_id", "sign", (F.col("t") + F.when(F.col("sign") == 1, F.lit(1)).otherwise(F.lit(1 - SIX_HOURS))).alias("m"), F.explode(F.array(*map(F.lit, kinds))).alias("cond"))
+    hits = counts_before(stimuli, at, "b", "m", SIX_HOURS // 24, ("cond",)).groupBy("cond", "user_id").agg(F.sum(F.col("sign") * F.col("before")).alias("hits"))
     n = stimuli.groupBy("cond").agg(F.count(F.lit(1)).alias("n"))
-    grid = n.join(events.select("user_id").distinct().withColumn("cond", F.explode(F.array(F.lit("purchase"), F.lit("view")))), "cond")
+    grid = n.join(events.select("user_id").distinct().withColumn("cond", F.explode(F.array(*map(F.lit, kinds)))), "cond")
     out = grid.join(hits, ["cond", "user_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return out.select("cond", "user_id", "hits", r6(F.col("hits") / F.col("n") / 6.0).alias("rate"))
 
