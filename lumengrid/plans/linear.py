@@ -129,6 +129,9 @@ _BETAS = """r as (select l_suppkey as u, l_linenumber <= 3 as own, l_orderkey as
  c as (select x.u, x.p, (select corr(f, g) from (select unnest(x.b) as f, unnest(y.b) as g)) as r from b x join b y using (u, p) where x.own and not y.own)"""
 
 
+_DESIGN = ("x1", "x2", "x3", "x4")
+
+
 def _cross(spark, d):
     """Correlation across features of two conditions' coefficients, per unit, as observed (p = 0) and with responses shuffled within the condition."""
     r = table(spark, d, "lineitem").select(
@@ -136,12 +139,16 @@ def _cross(spark, d):
         F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("x2"), (F.col("l_tax") * 100).alias("x3"), (F.col("l_orderkey") % 7).cast("double").alias("x4"),
     )
     cell = Window.partitionBy("u", "own")
-    designs = r.select("u", "own", "x1", "x2", "x3", "x4", F.row_number().over(cell.orderBy("o", "l", "y")).alias("i"))
-    key = F.when(F.col("p") == 0, F.lit("")).otherwise(shuffle_key("r1", "p", "o", "l"))
-    drawn = r.select("u", "own", "o", "l", "y", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("p"))
-    drawn = drawn.select("u", "own", "p", "y", F.row_number().over(Window.partitionBy("p", "u", "own").orderBy(key, "o", "l", "y")).alias("i"))
-    beta = [(F.covar_pop(x, "y") / F.stddev_pop(x)).alias("b" + x) for x in ("x1", "x2", "x3", "x4")]
-    b = designs.join(drawn, ["u", "own", "i"]).groupBy("u", "p", "own").agg(*beta)
+    # places of a row in the design and in each shuffle are found where the unit's rows lie, and rows of one place meet there too: rows are shuffled once
+    r = r.withColumn("i0", F.row_number().over(cell.orderBy("o", "l", "y")))
+    for p in range(1, 6):
+        r = r.withColumn(f"i{p}", F.row_number().over(cell.orderBy(shuffle_key(f"r1:{p}", "o", "l"), "o", "l", "y")))
+    none = F.lit(None).cast("double")
+    placed = [F.struct(F.col(f"i{p}").alias("i"), F.lit(p).alias("p"), "y", *((F.col(x) if p == 0 else none).alias(x) for x in _DESIGN)) for p in range(6)]
+    drawn = r.select("u", "own", F.explode(F.array(*placed)).alias("z")).select("u", "own", "z.*")
+    at = drawn.groupBy("u", "own", "i").agg(*(F.max(x).alias(x) for x in _DESIGN), *(F.max(F.when(F.col("p") == p, F.col("y"))).alias(f"y{p}") for p in range(6)))
+    beta = [F.struct(F.lit(p).alias("p"), *((F.covar_pop(x, f"y{p}") / F.stddev_pop(x)).alias("b" + x) for x in _DESIGN)) for p in range(6)]
+    b = at.groupBy("u", "own").agg(F.array(*beta).alias("b")).select("u", "own", F.explode("b").alias("b")).select("u", "own", "b.*")
     side = lambda own, tag: b.filter(F.col("own") == own).select("u", "p", F.array("bx1", "bx2", "bx3", "bx4").alias(tag))
     pairs = side(True, "f").join(side(False, "g"), ["u", "p"]).select("u", "p", F.explode(F.arrays_zip("f", "g")).alias("z"))
     return pairs.groupBy("u", "p").agg(F.corr("z.f", "z.g").alias("r"))
