@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import MODES, clip_windows, window_bounds
+from ..operators.ranks import quantiles
 from ..operators.tables import micros, r6, table
 from ..registry import query
 
@@ -77,7 +78,7 @@ def p12_recode_labels(spark, d):
 def p13_quantile_labels(spark, d):
     """Top and bottom quarter as labels."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    q = orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(orders, "o_totalprice", (0.25, 0.75))
     x = F.col("o_totalprice")
     return orders.crossJoin(F.broadcast(q)).select("o_orderkey", F.when(x <= F.get("q", F.lit(0)), "low").when(x >= F.get("q", F.lit(1)), "high").alias("label"))  # one row
 
