@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import SPEAKER_MODES, speaker_windows
 from ..operators.ranks import shuffle_key
-from ..operators.tables import micros, r6, table
+from ..operators.tables import micros, r6, spread, table
 from ..registry import query
 
 
@@ -102,11 +102,15 @@ def b3_larger_side_resampled(spark, d):
     sizes = r.groupBy("event_type", "side").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     s = sizes.groupBy("event_type").agg(F.max(F.struct("n", "side")).alias("l"), F.min(F.struct("n", "side", "mean")).alias("s"), F.count(F.lit(1)).alias("sides")).filter("sides = 2")
     s = s.select("event_type", F.col("l.side").alias("side"), F.col("l.n").alias("many"), F.col("s.n").alias("few"), F.col("s.mean").alias("small"))
-    draws = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)))
+    # draws are made in stretches, which are dealt to tasks
+    step = 50_000
+    draws = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1, F.lit(step).cast("long"))))
+    draws = spread(draws, "event_type", "k", "from").withColumn("j", F.explode(F.sequence("from", F.least(F.col("from") + step, F.col("few")) - 1)))
     pick = F.conv(F.substring(shuffle_key("b3", "k", "j"), 1, 7), 16, 10).cast("long") % F.col("many")
     # equal draws are counted before they meet the rows
     counted = draws.groupBy("event_type", "side", "k", "few", "small", pick.alias("i")).agg(F.count(F.lit(1)).alias("times"))
-    means = counted.join(r, ["event_type", "side", "i"]).groupBy("event_type", "k", "few", "small").agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("m"))
+    # there are as many draws as rows, whatever the few rows they come from let the planner think: neither side is to be broadcast
+    means = counted.hint("merge").join(r, ["event_type", "side", "i"]).groupBy("event_type", "k", "few", "small").agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("m"))
     return means.groupBy("event_type", F.col("few").alias("n"), "small").agg(F.round(F.avg("m"), 5).alias("large_mean")).select("event_type", "n", "large_mean", F.round("small", 5).alias("small_mean"))
 
 
