@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quasi import minimise
@@ -138,20 +139,20 @@ def discriminant(x: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     n = use.sum()
     counts = use @ y
     means = np.divide((y * use[:, None]).T @ x, counts[:, None], out=np.zeros((y.shape[1], x.shape[1])), where=counts[:, None] > 0)
-    r = (x - y @ means)[use > 0]
-    cov = r.T @ r / n
+    r, u = (x - y @ means)[use > 0], use[use > 0]
+    cov = (r * u[:, None]).T @ r / n
     level = np.trace(cov) / len(cov)
     spread = ((cov - level * np.eye(len(cov))) ** 2).sum()
-    noise = (((r**2).sum(1) ** 2).sum() / n - (cov**2).sum()) / n
+    noise = ((u * (r**2).sum(1) ** 2).sum() / n - (cov**2).sum()) / n
     share = 0.0 if spread <= 0 else min(1.0, max(0.0, noise / spread))
     w = np.linalg.lstsq((1 - share) * cov + share * level * np.eye(len(cov)), means.T, rcond=None)[0]
     bias = -0.5 * (means.T * w).sum(0) + np.log(np.maximum(counts, 1e-300) / n)
     return np.concatenate([bias[None], w])
 
 
-def fits(model: Model, x: np.ndarray, y: np.ndarray, train: np.ndarray, points: list[tuple[float, float]]) -> np.ndarray:
-    """Coefficients ``(fit, 1 + features, classes)`` on the rows that ``train`` ``(fit, rows)`` marks."""
-    use = train.astype(float)
+def fits(model: Model, x: np.ndarray, y: np.ndarray, train: np.ndarray, points: list[tuple[float, float]], times: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients ``(fit, 1 + features, classes)`` on the rows that ``train`` ``(fit, rows)`` marks, each counted ``times``."""
+    use = train.astype(float) if times is None else train * times
     if model.balanced:
         counts = use @ y
         present = (counts > 0).sum(1)
@@ -172,28 +173,37 @@ def predicted(w: np.ndarray, x: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return (scores >= scores.max(1, keepdims=True) - 1e-6).argmax(1)
 
 
-def balanced_accuracy(truth: np.ndarray, guess: np.ndarray) -> float:
-    return float(np.mean([(guess[truth == c] == c).mean() for c in np.unique(truth)]))
+def balanced_accuracy(truth: np.ndarray, guess: np.ndarray, times: np.ndarray | None = None) -> float:
+    times = np.ones(len(truth)) if times is None else times
+    return float(np.mean([times[(truth == c) & (guess == c)].sum() / times[truth == c].sum() for c in np.unique(truth)]))
 
 
-def _chosen(model: Model, x: np.ndarray, y: np.ndarray, truth: np.ndarray, train: np.ndarray, fold: np.ndarray) -> tuple[tuple[float, float], float | None]:
+def _chosen(model: Model, x: np.ndarray, y: np.ndarray, truth: np.ndarray, train: np.ndarray, fold: np.ndarray, times: np.ndarray) -> tuple[tuple[float, float], float | None]:
     """The best grid point over the folds of the training rows (the first of equals), and its mean score there."""
     inner = [j for j in np.unique(fold[train]) if len(np.unique(truth[train & (fold != j)])) > 1]
     if not inner:
         return model.grid[0], None
     tries = [(g, j) for g in model.grid for j in inner]
-    w = fits(model, x, y, np.array([train & (fold != j) for _, j in tries]), [g for g, _ in tries])
+    w = fits(model, x, y, np.array([train & (fold != j) for _, j in tries]), [g for g, _ in tries], times)
     score = dict.fromkeys(model.grid, 0.0)
     for (g, j), v in zip(tries, w, strict=True):
         at = train & (fold == j)
-        score[g] += balanced_accuracy(truth[at], predicted(v, x[at], y[train & (fold != j)].any(0))) / len(inner)
+        score[g] += balanced_accuracy(truth[at], predicted(v, x[at], y[train & (fold != j)].any(0)), times[at]) / len(inner)
     best = max(model.grid, key=lambda g: score[g])
     return best, score[best]
 
 
-def _scaled(x: np.ndarray, train: np.ndarray) -> np.ndarray:
-    sd = x[train].std(0)
-    return (x - x[train].mean(0)) / np.where(sd > 0, sd, 1.0)
+def _scaled(x: np.ndarray, train: np.ndarray, times: np.ndarray) -> np.ndarray:
+    u = times[train] / times[train].sum()
+    mean = u @ x[train]
+    sd = np.sqrt(u @ (x[train] - mean) ** 2)
+    # a constant may differ from its mean by rounding
+    return (x - mean) / np.where(np.ptp(x[train], 0) > 0, sd, 1.0)
+
+
+def _counted(own: DataFrame, *keys: str) -> DataFrame:
+    """Equal rows as one with the number ``t`` of them: they are one to any fit, and a unit of few distinct rows is small however many it has."""
+    return own.groupBy(*keys).agg(F.count(F.lit(1)).alias("t"))
 
 
 def _own(rows: DataFrame, **columns) -> DataFrame:
@@ -211,24 +221,26 @@ def decode(rows: DataFrame, unit: str, label: str, features: str, fold: str, mod
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         u, name, k = key
         model = names[name]
-        pdf = pdf.sort_values("o") if order else pdf
-        x, f = np.stack(pdf["x"].to_numpy()).astype(float), pdf["f"].to_numpy()
+        # rows in one order, so that equal runs have equal sums
+        pdf = pdf.sort_values("o") if order else pdf.iloc[sorted(range(len(pdf)), key=lambda i: (pdf["f"].iat[i], pdf["y"].iat[i], tuple(pdf["x"].iat[i])))]
+        x, f, times = np.stack(pdf["x"].to_numpy()).astype(float), pdf["f"].to_numpy(), pdf["t"].to_numpy(float)
         classes, truth = np.unique(pdf["y"].to_numpy(), return_inverse=True)
         train = f != k
-        out = {"unit": u, "model": name, "fold": k, "n_train": int(train.sum()), "n_test": int((~train).sum()), "strength": None, "mix": None, "accuracy": None, "balanced": None, "coefficients": None, "drop_reason": None}
+        out = {"unit": u, "model": name, "fold": k, "n_train": int(times[train].sum()), "n_test": int(times[~train].sum()), "strength": None, "mix": None, "accuracy": None, "balanced": None, "coefficients": None, "drop_reason": None}
         if len(np.unique(truth[train])) < 2 or train.all():
             out["drop_reason"] = "no held-out rows" if train.all() else "one class in training"
             return pd.DataFrame([out])[list(out)]
-        x, y = _scaled(x, train), np.eye(len(classes))[truth]
-        best = _chosen(model, x, y, truth, train, f)[0] if len(model.grid) > 1 else model.grid[0]
-        w = fits(model, x, y, train[None], [best])[0]
+        x, y = _scaled(x, train, times), np.eye(len(classes))[truth]
+        best = _chosen(model, x, y, truth, train, f, times)[0] if len(model.grid) > 1 else model.grid[0]
+        w = fits(model, x, y, train[None], [best], times)[0]
         guess = predicted(w, x[~train], y[train].any(0))
-        out |= {"strength": best[0], "mix": best[1], "accuracy": float((guess == truth[~train]).mean()), "balanced": balanced_accuracy(truth[~train], guess), "coefficients": w.ravel().tolist()}
+        out |= {"strength": best[0], "mix": best[1], "accuracy": float(times[~train] @ (guess == truth[~train]) / times[~train].sum()), "balanced": balanced_accuracy(truth[~train], guess, times[~train]), "coefficients": w.ravel().tolist()}
         return pd.DataFrame([out])[list(out)]
 
     share_package(rows.sparkSession)
     text, whole = lambda c: F.col(c).cast("string"), F.col(features).cast("array<double>")
     own = _own(rows, unit=text(unit), y=text(label), x=whole, f=F.col(fold).cast("int"), o=F.col(order) if order else F.lit(0))
+    own = own.withColumn("t", F.lit(1).cast("long")) if order else _counted(own, "unit", "y", "x", "f")
     folds = own.select("unit", F.col("f").alias("fold")).distinct().withColumn("model", F.explode(F.array(*map(F.lit, names))))
     schema = "unit string, model string, fold int, n_train long, n_test long, strength double, mix double, accuracy double, balanced double, coefficients array<double>, drop_reason string"
     return own.join(folds, "unit").groupBy("unit", "model", "fold").applyInPandas(run, schema)
@@ -249,60 +261,66 @@ def cross_decode(rows: DataFrame, unit: str, label: str, features: str, conditio
     """Decoders trained in one condition (0 or 1) and tested in the other, both ways, beside their ceilings within each condition.
 
     A row for each unit and model: mean balanced accuracy across (``across``, ``from_0``, ``from_1``), ``ceiling_0`` and ``ceiling_1`` (mean over the condition's folds at the chosen
-    grid point), the ``permutations`` tried and ``p`` with labels put in hash order within each condition, grid points kept.  Permutations are
-    dealt to tasks in chunks, with a unit's rows repeated for each.  A condition without two classes gives null scores.
+    grid point), the ``permutations`` tried and ``p`` with labels put in hash order within each condition, grid points kept.  Labels are put in
+    order by Spark, ``chunk`` permutations to a shuffle of the rows, and equal rows are counted before they are fitted.  A condition without two classes gives null scores.
     """
     names = {m.name: m for m in models}
 
     def prepared(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("o")
-        x, f, c = np.stack(pdf["x"].to_numpy()).astype(float), pdf["f"].to_numpy(), pdf["c"].to_numpy()
+        pdf = pdf.iloc[sorted(range(len(pdf)), key=lambda i: (pdf["c"].iat[i], pdf["f"].iat[i], pdf["y"].iat[i], tuple(pdf["x"].iat[i])))]
+        x, f, c, times = np.stack(pdf["x"].to_numpy()).astype(float), pdf["f"].to_numpy(), pdf["c"].to_numpy(), pdf["t"].to_numpy(float)
         classes, truth = np.unique(pdf["y"].to_numpy(), return_inverse=True)
         fine = all(len(np.unique(truth[c == side])) > 1 for side in (0, 1))
-        return x, f, c, classes, truth, pdf["o"].astype(str).tolist(), fine
+        return x, f, c, classes, truth, times, fine
 
-    def across(model: Model, x: np.ndarray, c: np.ndarray, k: int, truth: np.ndarray, side: int, best: tuple) -> float:
+    def across(model: Model, x: np.ndarray, c: np.ndarray, k: int, truth: np.ndarray, side: int, best: tuple, times: np.ndarray) -> float:
         train = c == side
-        x, y = _scaled(x, train), np.eye(k)[truth]
-        w = fits(model, x, y, train[None], [best])[0]
-        return balanced_accuracy(truth[~train], predicted(w, x[~train], y[train].any(0)))
+        x, y = _scaled(x, train, times), np.eye(k)[truth]
+        w = fits(model, x, y, train[None], [best], times)[0]
+        return balanced_accuracy(truth[~train], predicted(w, x[~train], y[train].any(0)), times[~train])
 
     def observed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         model = names[key[1]]
-        x, f, c, classes, truth, _, fine = prepared(pdf)
-        out = {"unit": key[0], "model": key[1], "n": len(pdf), "across": None, "from_0": None, "from_1": None, "ceiling_0": None, "ceiling_1": None, "points": None}
+        x, f, c, classes, truth, times, fine = prepared(pdf)
+        out = {"unit": key[0], "model": key[1], "n": int(times.sum()), "across": None, "from_0": None, "from_1": None, "ceiling_0": None, "ceiling_1": None, "points": None}
         if fine:
             points = []
             for side in (0, 1):
                 train = c == side
-                best, score = _chosen(model, _scaled(x, train), np.eye(len(classes))[truth], truth, train, f)
-                out |= {f"from_{side}": across(model, x, c, len(classes), truth, side, best), f"ceiling_{side}": score}
+                best, score = _chosen(model, _scaled(x, train, times), np.eye(len(classes))[truth], truth, train, f, times)
+                out |= {f"from_{side}": across(model, x, c, len(classes), truth, side, best, times), f"ceiling_{side}": score}
                 points += best
             out |= {"across": (out["from_0"] + out["from_1"]) / 2, "points": points}
         return pd.DataFrame([out])[list(out)]
 
     def shuffled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model, first = names[key[1]], key[2]
-        x, _, c, classes, truth, keys, _ = prepared(pdf)
-        points, seen = pdf["points"].iloc[0], float(pdf["across"].iloc[0])
-        more = 0
-        for i in range(first, min(first + chunk, permutations)):
-            drawn = truth.copy()
-            for side in (0, 1):
-                at = np.flatnonzero(c == side)
-                drawn[at] = truth[at[hash_permutation([keys[j] for j in at], str(i))]]
-            null = sum(across(model, x, c, len(classes), drawn, side, tuple(points[2 * side : 2 * side + 2])) for side in (0, 1)) / 2
-            more += null >= seen - 1e-12
-        return pd.DataFrame({"unit": [key[0]], "model": [key[1]], "more": [more]})
+        model, points, seen = names[key[1]], pdf["points"].iloc[0], float(pdf["across"].iloc[0])
+        x, _, c, classes, truth, times, _ = prepared(pdf)
+        null = sum(across(model, x, c, len(classes), truth, side, tuple(points[2 * side : 2 * side + 2]), times) for side in (0, 1)) / 2
+        return pd.DataFrame({"unit": [key[0]], "model": [key[1]], "more": [int(null >= seen - 1e-12)]})
+
+    def drawn(own: DataFrame, first: int) -> DataFrame:
+        """Rows of a chunk of permutations ``q``, counted: places are found, and rows of one place meet, where a condition's rows lie."""
+        cell, draws = Window.partitionBy("unit", "c"), range(first, min(first + chunk, permutations))
+        placed = own.withColumn("i", F.row_number().over(cell.orderBy("o")))
+        for q in draws:
+            placed = placed.withColumn(f"i{q}", F.row_number().over(cell.orderBy(F.md5(F.concat(F.lit(f"{q}:"), F.col("o").cast("string"))), "i")))
+        still = F.struct("i", F.lit(-1).alias("q"), F.lit(None).cast("string").alias("y"), "x")
+        moved = [F.struct(F.col(f"i{q}").alias("i"), F.lit(q).alias("q"), "y", F.lit(None).cast("array<double>").alias("x")) for q in draws]
+        laid = placed.select("unit", "c", F.explode(F.array(still, *moved)).alias("z")).select("unit", "c", "z.*")
+        met = laid.groupBy("unit", "c", "i").agg(F.max("x").alias("x"), *(F.max(F.when(F.col("q") == q, F.col("y"))).alias(f"y{q}") for q in draws))
+        each = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"y{q}").alias("y")) for q in draws))).alias("z")
+        return _counted(met.select("unit", "c", "x", each).select("unit", "c", "x", "z.q", "z.y"), "unit", "q", "c", "x", "y").withColumn("f", F.lit(0))
 
     share_package(rows.sparkSession)
     text = lambda c: F.col(c).cast("string")
-    own = _own(rows, unit=text(unit), y=text(label), x=F.col(features).cast("array<double>"), f=F.col(fold).cast("int"), c=F.col(condition).cast("int"), o=F.col(order)).withColumn("model", F.explode(F.array(*map(F.lit, names))))
+    own = _own(rows, unit=text(unit), y=text(label), x=F.col(features).cast("array<double>"), f=F.col(fold).cast("int"), c=F.col(condition).cast("int"), o=F.col(order))
+    model = F.explode(F.array(*map(F.lit, names)))
     schema = "unit string, model string, n long, across double, from_0 double, from_1 double, ceiling_0 double, ceiling_1 double, points array<double>"
-    real = own.groupBy("unit", "model").applyInPandas(observed, schema).persist()  # one row a unit and model
+    real = _counted(own, "unit", "y", "x", "f", "c").withColumn("model", model).groupBy("unit", "model").applyInPandas(observed, schema).persist()  # one row a unit and model
     if not permutations:
         return real.drop("points").withColumn("permutations", F.lit(0)).withColumn("p", F.lit(None).cast("double"))
-    first = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1), F.lit(chunk)))
-    tasks = own.join(real.filter("across is not null").select("unit", "model", "across", "points"), ["unit", "model"]).withColumn("first", first)
-    null = tasks.groupBy("unit", "model", "first").applyInPandas(shuffled, "unit string, model string, more long").groupBy("unit", "model").agg(F.sum("more").alias("more"))
+    fine = real.filter("across is not null").select("unit", "model", "across", "points")
+    tasks = reduce(DataFrame.unionByName, (drawn(own, first) for first in range(0, permutations, chunk))).join(fine, "unit")
+    null = tasks.groupBy("unit", "model", "q").applyInPandas(shuffled, "unit string, model string, more long").groupBy("unit", "model").agg(F.sum("more").alias("more"))
     return real.drop("points").join(null, ["unit", "model"], "left").withColumn("permutations", F.lit(permutations)).withColumn("p", (1 + F.col("more")) / F.lit(1 + permutations)).drop("more")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from lumengrid.operators import decoders as D
 from lumengrid.operators.quasi import minimise
@@ -109,3 +110,18 @@ def test_hash_permutation_is_one():
     keys = [str(i) for i in range(50)]
     a, b = D.hash_permutation(keys, "1"), D.hash_permutation(keys, "2")
     assert sorted(a) == list(range(50)) and list(a) != list(b) and list(a) == list(D.hash_permutation(keys, "1"))
+
+
+def test_equal_rows_are_counted_before_they_reach_a_task(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = rng.integers(0, 2, n).astype(float)
+    pdf = pd.DataFrame({"u": "s", "y": (rng.random(n) < 0.3 + 0.4 * x).astype(int), "c": rng.integers(0, 2, n), "f": np.arange(n) % 3, "o": np.arange(n), "x": [[float(v)] for v in x]})
+    rows = spark.createDataFrame(pdf)
+    out = D.cross_decode(rows, "u", "y", "x", "c", "f", "o", (D.Model("free", "free"),), permutations=3, chunk=2).collect()
+    assert len(out) == 1 and out[0]["n"] == n and out[0]["p"] == 0.25
+    plain = D.decode(rows, "u", "y", "x", "f", (D.Model("free", "free"), D.Model("lda", "lda", balanced=False)), order="o").toPandas().sort_values(["model", "fold"])
+    counted = D.decode(rows, "u", "y", "x", "f", (D.Model("free", "free"), D.Model("lda", "lda", balanced=False))).toPandas().sort_values(["model", "fold"])
+    assert plain["n_train"].tolist() == counted["n_train"].tolist() and np.allclose(plain["balanced"].tolist(), counted["balanced"].tolist())
+    assert np.allclose(np.stack(plain["coefficients"]), np.stack(counted["coefficients"]), atol=1e-5)
+    assert D._counted(D._own(rows, unit=rows.u, y=rows.y.cast("string"), x=rows.x, f=rows.f), "unit", "y", "x", "f").count() <= 12
