@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import balance, reliability
-from ..operators.tables import micros, r6, table
+from ..operators.tables import correlation, micros, r6, table
 from ..registry import query
 from .reliabilities import _FEATURES, _ROWS, _betas, _lines
 
@@ -79,7 +79,7 @@ def r5_fold_coefficients(spark, d):
     held = rows.withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("fold <> without")
     beta = reliability.observed(held, "l_suppkey", "without", _FEATURES, "y", "id", reliability.Fits(alphas=(0.0,))).select("unit", "condition", "beta")
     pairs = beta.join(beta.select("unit", F.col("condition").alias("other"), F.col("beta").alias("theirs")), "unit").filter("condition < other")
-    each = pairs.select("unit", "condition", "other", F.explode(F.arrays_zip("beta", "theirs")).alias("z")).groupBy("unit", "condition", "other").agg(F.corr("z.beta", "z.theirs").alias("r"))
+    each = pairs.select("unit", "condition", "other", F.explode(F.arrays_zip("beta", "theirs")).alias("z")).groupBy("unit", "condition", "other").agg(correlation("z.beta", "z.theirs").alias("r"))
     return each.groupBy("unit").agg(F.count("r").alias("pairs"), F.round(F.avg("r"), 5).alias("fold_corr"))
 
 

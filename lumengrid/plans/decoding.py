@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import shuffle_key
-from ..operators.tables import micros, r6, table
+from ..operators.tables import correlation, micros, r6, table
 from ..registry import query
 from ..streaming.sessions import session_counts, tumbling_counts
 
@@ -61,7 +61,7 @@ def r3_noise_ceiling(spark, d):
     e = e.withColumn("half", F.row_number().over(order) % 2).withColumn("slot", F.floor(F.hour("ts") / 4))
     mean = lambda h: F.avg(F.when(F.col("half") == h, F.col("value")))
     b = e.groupBy("user_id", "event_type", "slot").agg(mean(0).alias("h0"), mean(1).alias("h1")).filter("h0 is not null and h1 is not null")
-    r = b.groupBy("user_id", "event_type").agg(F.when(F.count(F.lit(1)) >= 3, F.greatest(F.corr("h0", "h1"), F.lit(0.0))).alias("r"))
+    r = b.groupBy("user_id", "event_type").agg(F.when(F.count(F.lit(1)) >= 3, F.greatest(correlation("h0", "h1"), F.lit(0.0))).alias("r"))
     r = r.withColumn("sb", 2 * F.col("r") / (1 + F.col("r")))
     of = lambda c: F.max(F.when(F.col("event_type") == c, F.col("sb")))
     s = r.groupBy("user_id").agg(of("view").alias("v"), of("click").alias("c"))
@@ -76,7 +76,7 @@ def r5_fold_correlation(spark, d):
     fold = F.ntile(4).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     b = table(spark, d, "events").select("user_id", "event_type", "value", fold.alias("fold")).groupBy("user_id", "fold", "event_type").agg(F.avg("value").alias("b"))
     other = b.select("user_id", "event_type", F.col("fold").alias("g"), F.col("b").alias("b2"))
-    p = b.join(other, ["user_id", "event_type"]).filter("fold < g").groupBy("user_id", "fold", "g").agg(F.when(F.count(F.lit(1)) >= 3, F.corr("b", "b2")).alias("r"))
+    p = b.join(other, ["user_id", "event_type"]).filter("fold < g").groupBy("user_id", "fold", "g").agg(F.when(F.count(F.lit(1)) >= 3, correlation("b", "b2")).alias("r"))
     return p.groupBy("user_id").agg(F.count("r").alias("pairs"), r6(F.avg("r")).alias("fold_corr"))
 
 
@@ -106,7 +106,7 @@ def _geometries(spark, d) -> DataFrame:
 @query(f"with {_GEOMETRIES} select count(*) as pairs, round(corr(d0, d1), 6) as rsa from w")
 def x2_similarity_of_geometries(spark, d):
     """Cosine distances between class means in two halves, and the correlation of their upper triangles."""
-    return _geometries(spark, d).agg(F.count(F.lit(1)).alias("pairs"), r6(F.corr("d0", "d1")).alias("rsa"))
+    return _geometries(spark, d).agg(F.count(F.lit(1)).alias("pairs"), r6(correlation("d0", "d1")).alias("rsa"))
 
 
 @query(f"""with {_GEOMETRIES}, l as (select label, row_number() over (order by label) as i from (select l1 as label from w union select l2 from w)),
@@ -126,7 +126,7 @@ def n16_permuted_geometry(spark, d):
     second = maps.select("p", F.col("label").alias("label2"), F.col("drawn").alias("drawn2"))
     met = w.select("label", "label2", "d0").join(maps, "label").join(second, ["p", "label2"])
     met = met.select("p", "d0", F.least("drawn", "drawn2").alias("label"), F.greatest("drawn", "drawn2").alias("label2"))
-    r = met.join(w.select("label", "label2", "d1"), ["label", "label2"]).groupBy("p").agg(r6(F.corr("d0", "d1")).alias("r"))
+    r = met.join(w.select("label", "label2", "d1"), ["label", "label2"]).groupBy("p").agg(r6(correlation("d0", "d1")).alias("r"))
     s = r.agg(F.max(F.when(F.col("p") == 0, F.col("r"))).alias("r"), F.collect_list(F.when(F.col("p") > 0, F.col("r"))).alias("null"))  # 99 numbers
     above = F.size(F.filter("null", lambda x: x >= F.col("r")))
     return s.select(F.size("null").cast("long").alias("permutations"), "r", ((1 + above) / (1 + F.size("null"))).alias("p_right"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import linear
 from ..operators.ranks import shuffle_key
-from ..operators.tables import r6, table
+from ..operators.tables import correlation, r6, table
 from ..registry import query
 
 WIDTH = 64
@@ -147,11 +147,11 @@ def _cross(spark, d):
     placed = [F.struct(F.col(f"i{p}").alias("i"), F.lit(p).alias("p"), "y", *((F.col(x) if p == 0 else none).alias(x) for x in _DESIGN)) for p in range(6)]
     drawn = r.select("u", "own", F.explode(F.array(*placed)).alias("z")).select("u", "own", "z.*")
     at = drawn.groupBy("u", "own", "i").agg(*(F.max(x).alias(x) for x in _DESIGN), *(F.max(F.when(F.col("p") == p, F.col("y"))).alias(f"y{p}") for p in range(6)))
-    beta = [F.struct(F.lit(p).alias("p"), *((F.covar_pop(x, f"y{p}") / F.stddev_pop(x)).alias("b" + x) for x in _DESIGN)) for p in range(6)]
+    beta = [F.struct(F.lit(p).alias("p"), *(F.coalesce(F.try_divide(F.covar_pop(x, f"y{p}"), F.stddev_pop(x)), F.lit(float("nan"))).alias("b" + x) for x in _DESIGN)) for p in range(6)]
     b = at.groupBy("u", "own").agg(F.array(*beta).alias("b")).select("u", "own", F.explode("b").alias("b")).select("u", "own", "b.*")
     side = lambda own, tag: b.filter(F.col("own") == own).select("u", "p", F.array("bx1", "bx2", "bx3", "bx4").alias(tag))
     pairs = side(True, "f").join(side(False, "g"), ["u", "p"]).select("u", "p", F.explode(F.arrays_zip("f", "g")).alias("z"))
-    return pairs.groupBy("u", "p").agg(F.corr("z.f", "z.g").alias("r"))
+    return pairs.groupBy("u", "p").agg(correlation("z.f", "z.g").alias("r"))
 
 
 @query(f"with {_BETAS} select u as l_suppkey, p::int as p, round(r, 5) as r from c")

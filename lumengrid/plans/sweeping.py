@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import annotated, annotated_from, counts_before, window_bounds
-from ..operators.tables import micros, r6, table
+from ..operators.tables import correlation, micros, r6, table
 from ..registry import query
 
 HOUR = 3_600_000_000
@@ -27,7 +27,7 @@ def sweep_window_grid(spark, d):
     ends = w.select("event_id", "user_id", "value", F.col("g.s").alias("s"), F.col("g.l").alias("l"), F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (F.col("t") + F.col("g.s") * HOUR).alias("m")), F.struct(F.lit(1).alias("sign"), (F.col("t") + (F.col("g.s") + F.col("g.l")) * HOUR).alias("m")))).alias("x"))
     ends = ends.select("event_id", "user_id", "value", "s", "l", "x.sign", "x.m")
     n = counts_before(e.select("user_id", "t"), ends, "t", "m", 24 * HOUR, ("user_id",)).groupBy("event_id", "s", "l").agg(F.first("value").alias("value"), F.sum(F.col("sign") * F.col("before")).alias("n"))
-    r = n.groupBy("s", "l").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("hits"), F.avg(F.col("n") / F.col("l")).alias("rate"), F.round(F.corr("n", "value"), 6).alias("r"))
+    r = n.groupBy("s", "l").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("hits"), F.avg(F.col("n") / F.col("l")).alias("rate"), F.round(correlation("n", "value"), 6).alias("r"))
     first = F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "s", "l")) == 1  # a row a grid point
     return r.select(F.col("s").alias("start_h"), F.col("l").alias("length_h"), "words", "hits", r6(F.col("rate")).alias("rate"), "r", first.alias("best"))
 
