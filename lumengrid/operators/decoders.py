@@ -13,6 +13,7 @@ Defined results: rows with a null label, fold, unit or feature are left out; a f
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -41,6 +42,9 @@ class Model:
         return list(product(self.strengths, self.mixes))
 
 
+#: Rows beyond which a unit is not one task for each fold and model.
+LARGE = 12_000
+
 #: The linear models that are compared.
 MODELS = (
     Model("logistic", "logistic", tuple(float(c) for c in np.logspace(-2, 4, 9))),
@@ -94,11 +98,21 @@ def elastic(x: np.ndarray, y: np.ndarray, use: np.ndarray, strength: np.ndarray,
     u = (use / total[:, None])[:, :, None]
     # the curvature of the loss is at most half of the greatest one of the weighted design
     size = 1 / (0.5 * np.array([np.linalg.eigvalsh((z * v).T @ z)[-1] for v in u]) + ridge[:, 0, 0])[:, None, None]
-    w = np.zeros((b, p, k))
-    ahead, t, live = w.copy(), np.ones(b), np.arange(b)
+
+    def slope(at: np.ndarray, live: np.ndarray) -> np.ndarray:
+        _, share = _softmax(z @ at)
+        return z.T @ (u[live] * (share - y))
+
+    return proximal(slope, np.zeros((b, p, k)), size[:, 0, 0], ridge[:, 0, 0], lasso[:, 0, 0], steps, tolerance)
+
+
+def proximal(slope_of: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, size: np.ndarray, ridge: np.ndarray, lasso: np.ndarray, steps: int = 3000, tolerance: float = 1e-7) -> np.ndarray:
+    """Accelerated proximal steps of many fits from ``start (fit, 1 + features, classes)``; ``slope_of(points, which)`` gives slopes of the losses of the fits ``which``."""
+    size, ridge, lasso = size[:, None, None], ridge[:, None, None], lasso[:, None, None]
+    w = start.copy()
+    ahead, t, live = w.copy(), np.ones(len(w)), np.arange(len(w))
     for _ in range(steps):
-        _, share = _softmax(z @ ahead[live])
-        slope = z.T @ (u[live] * (share - y))
+        slope = slope_of(ahead[live], live)
         slope[:, 1:] += ridge[live] * ahead[live][:, 1:]
         new = ahead[live] - size[live] * slope
         cut = new[:, 1:]
@@ -140,10 +154,15 @@ def discriminant(x: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     counts = use @ y
     means = np.divide((y * use[:, None]).T @ x, counts[:, None], out=np.zeros((y.shape[1], x.shape[1])), where=counts[:, None] > 0)
     r, u = (x - y @ means)[use > 0], use[use > 0]
-    cov = (r * u[:, None]).T @ r / n
+    return discriminant_of(counts, means, (r * u[:, None]).T @ r / n, (u * (r**2).sum(1) ** 2).sum() / n)
+
+
+def discriminant_of(counts: np.ndarray, means: np.ndarray, cov: np.ndarray, fourth: float) -> np.ndarray:
+    """The same from each class's weight and mean, the common covariance, and the mean squared squared length ``fourth`` about the means."""
+    n = counts.sum()
     level = np.trace(cov) / len(cov)
     spread = ((cov - level * np.eye(len(cov))) ** 2).sum()
-    noise = ((u * (r**2).sum(1) ** 2).sum() / n - (cov**2).sum()) / n
+    noise = (fourth - (cov**2).sum()) / n
     share = 0.0 if spread <= 0 else min(1.0, max(0.0, noise / spread))
     w = np.linalg.lstsq((1 - share) * cov + share * level * np.eye(len(cov)), means.T, rcond=None)[0]
     bias = -0.5 * (means.T * w).sum(0) + np.log(np.maximum(counts, 1e-300) / n)
@@ -211,11 +230,14 @@ def _own(rows: DataFrame, **columns) -> DataFrame:
     return own.dropna(subset=[k for k in columns if k != "o"]).filter("not exists(x, v -> v is null or isnan(v))")
 
 
-def decode(rows: DataFrame, unit: str, label: str, features: str, fold: str, models: tuple[Model, ...] = MODELS, order: str | None = None) -> DataFrame:
+def decode(rows: DataFrame, unit: str, label: str, features: str, fold: str, models: tuple[Model, ...] = MODELS, order: str | None = None, large: int = LARGE) -> DataFrame:
     """Scores of each unit, model and outer fold: ``(unit, model, fold, n_train, n_test, strength, mix, accuracy, balanced, coefficients, drop_reason)``.
 
     ``features`` is an array column, ``fold`` an integer one; inner folds are the other outer folds.  ``order`` (or the features) puts equal runs in one order.
+    Units of more than ``large`` (distinct) rows are fitted from sums over blocks of their rows, one such unit after the other.
     """
+    from . import summed
+
     names = {m.name: m for m in models}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,9 +263,14 @@ def decode(rows: DataFrame, unit: str, label: str, features: str, fold: str, mod
     text, whole = lambda c: F.col(c).cast("string"), F.col(features).cast("array<double>")
     own = _own(rows, unit=text(unit), y=text(label), x=whole, f=F.col(fold).cast("int"), o=F.col(order) if order else F.lit(0))
     own = own.withColumn("t", F.lit(1).cast("long")) if order else _counted(own, "unit", "y", "x", "f")
+    columns = ("unit", "model", "fold", "n_train", "n_test", "strength", "mix", "accuracy", "balanced", "coefficients", "drop_reason")
+    many = {r["unit"]: r["n"] for r in own.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).collect()}
+    found = [tuple(r[c] for c in columns) for u, n in sorted(many.items()) for r in summed.decode(own.filter(F.col("unit") == F.lit(u)), u, models, n, order is not None)]
+    own = own.filter(~F.col("unit").isin(list(many))) if many else own
     folds = own.select("unit", F.col("f").alias("fold")).distinct().withColumn("model", F.explode(F.array(*map(F.lit, names))))
     schema = "unit string, model string, fold int, n_train long, n_test long, strength double, mix double, accuracy double, balanced double, coefficients array<double>, drop_reason string"
-    return own.join(folds, "unit").groupBy("unit", "model", "fold").applyInPandas(run, schema)
+    out = own.join(folds, "unit").groupBy("unit", "model", "fold").applyInPandas(run, schema)
+    return out.unionByName(rows.sparkSession.createDataFrame(found, schema)) if found else out
 
 
 def hash_permutation(keys: list[str], seed: str) -> np.ndarray:
