@@ -284,6 +284,55 @@ def hash_permutation(keys: list[str], seed: str) -> np.ndarray:
     return np.array(sorted(range(len(keys)), key=digests.__getitem__), int)
 
 
+_TURNS = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+_WORDS = [(a * i + b) % 16 for a, b in ((1, 0), (5, 1), (3, 5), (7, 0)) for i in range(16)]
+_SINES = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint32)
+
+
+def _digests(blocks: np.ndarray) -> np.ndarray:
+    """MD5 of messages of one padded block each, ``(message, 64)`` bytes, as two big-endian halves ``(message, 2)``."""
+    w = np.ascontiguousarray(blocks.view("<u4").T)
+    first = [np.full(w.shape[1], v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = first
+    for i in range(64):
+        mixed = _mixed(i // 16, b, c, d) + a + w[_WORDS[i]] + _SINES[i]
+        turn = np.uint32(_TURNS[i])
+        a, d, c, b = d, c, b, b + ((mixed << turn) | (mixed >> (np.uint32(32) - turn)))
+    return np.stack([v + u for v, u in zip((a, b, c, d), first, strict=True)], 1).astype("<u4").view(">u8").astype(np.uint64)
+
+
+def _mixed(part: int, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    if part == 0:
+        return d ^ (b & (c ^ d))
+    if part == 1:
+        return c ^ (d & (b ^ c))
+    return b ^ c ^ d if part == 2 else c ^ (b | ~d)
+
+
+def hash_permutations(keys: list[str], seeds: list[str]) -> list[np.ndarray]:
+    """:func:`hash_permutation` for each seed, digests of many short keys at once."""
+    coded, starts = [k.encode() for k in keys], [f"{s}:".encode() for s in seeds]
+    if not coded or not starts or max(map(len, coded)) + max(map(len, starts)) > 55:
+        return [hash_permutation(keys, s) for s in seeds]
+    size = np.array([len(k) for k in coded])
+    blocks = np.empty((len(starts), len(coded), 64), np.uint8)
+    for begin in {len(s) for s in starts}:
+        # starts of one length share where keys lie
+        laid = np.zeros((len(coded), 64), np.uint8)
+        for length in np.unique(size):
+            at, n = np.flatnonzero(size == length), begin + int(length)
+            laid[at, begin:n] = np.frombuffer(b"".join(coded[i] for i in at), np.uint8).reshape(len(at), length)
+            laid[at, n], laid[at, 56], laid[at, 57] = 0x80, 8 * n % 256, 8 * n // 256
+        own = [i for i, s in enumerate(starts) if len(s) == begin]
+        blocks[own] = laid
+        blocks[own, :, :begin] = np.frombuffer(b"".join(starts[i] for i in own), np.uint8).reshape(len(own), 1, begin)
+    high, low = _digests(blocks.reshape(-1, 64)).reshape(len(starts), len(coded), 2).transpose(2, 0, 1)
+    order = np.argsort(high, 1, kind="stable")
+    ordered = np.take_along_axis(high, order, 1)
+    same = (ordered[:, 1:] == ordered[:, :-1]).any(1)
+    return [np.lexsort((low[i], high[i])) if same[i] else order[i] for i in range(len(starts))]
+
+
 def cross_decode(rows: DataFrame, unit: str, label: str, features: str, condition: str, fold: str, order: str, models: tuple[Model, ...] = MODELS, permutations: int = 0, chunk: int = 20) -> DataFrame:
     """Decoders trained in one condition (0 or 1) and tested in the other, both ways, beside their ceilings within each condition.
 

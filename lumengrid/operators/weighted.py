@@ -42,9 +42,9 @@ def _solved(sums: DataFrame, q: int, p: int, key: str, alpha: float, free: int =
 def fitted_rates(rows: DataFrame, unit: str, controls: list[str], y: str, out: str, alpha: float = 0.0, steps: int = 12) -> DataFrame:
     """Adds each unit's fitted Poisson rate of ``y`` on an intercept (free) and the ``controls`` (penalised by ``alpha``), after ``steps`` reweighted steps.
 
-    The units' coefficients are checkpointed after each step.
+    The units' coefficients are checkpointed after each step; rows are laid by unit once and kept, so that a step shuffles no rows.
     """
-    rows = rows.dropna(subset=[unit, *controls, y])
+    rows = rows.dropna(subset=[unit, *controls, y]).repartition(unit).persist()
     x = [F.lit(1.0), *(F.col(c).cast("double") for c in controls)]
     q, count = len(x), F.col(y).cast("double")
     eta = lambda b: F.greatest(F.least(sum((x[i] * F.get(b, F.lit(i)) for i in range(q)), F.lit(0.0)), F.lit(20.0)), F.lit(-20.0))
