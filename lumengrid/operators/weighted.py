@@ -57,6 +57,23 @@ def fitted_rates(rows: DataFrame, unit: str, controls: list[str], y: str, out: s
     return rows.join(start, unit).withColumn(out, F.exp(eta("_b"))).drop("_b")
 
 
+def rates_of(x: np.ndarray, y: np.ndarray, starts: np.ndarray, alpha: float = 0.0, steps: int = 12) -> np.ndarray:
+    """As :func:`fitted_rates` for rows ``x (row, control)`` that a task has: groups begin at ``starts`` and move together."""
+    z = np.concatenate([np.ones((len(x), 1)), x], 1)
+    q, group = z.shape[1], np.repeat(np.arange(len(starts)), np.diff([*starts, len(x)]))
+    ridge = np.diag([0.0] + [alpha] * (q - 1))
+    b = np.zeros((len(starts), q))
+    b[:, 0] = np.log(np.maximum(np.add.reduceat(y, starts) / np.bincount(group), 1e-3))
+    eta = lambda: np.clip((z * b[group]).sum(1), -20.0, 20.0)
+    for _ in range(steps):
+        at = eta()
+        mu = np.exp(at)
+        working = at + (y - mu) / mu
+        sums = np.add.reduceat(np.stack([*(mu * z[:, i] * z[:, j] for i in range(q) for j in range(q)), *(mu * z[:, i] * working for i in range(q))], 1), starts)
+        b = (np.linalg.pinv(sums[:, : q * q].reshape(-1, q, q) + ridge, hermitian=True) @ sums[:, q * q :, None])[:, :, 0]
+    return np.exp(eta())
+
+
 def weighted_residuals(rows: DataFrame, unit: str, fold: str, controls: list[str], targets: list[str], weight: str, alpha: float) -> DataFrame:
     """Adds ``residual_...`` of each target: less its weighted ridge on the controls, by unit, fitted without the row's own fold."""
     rows = rows.dropna(subset=[unit, fold, *controls, *targets, weight])

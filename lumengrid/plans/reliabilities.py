@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reliability, weighted
+from ..operators import reliability
 from ..operators.tables import r6, table
 from ..registry import query
 
@@ -62,9 +62,7 @@ def r6_residualised_reliability(spark, d):
     """Cross-correlation of coefficients of what is left of the counts after a model of the controls (Pearson residuals), penalties by folds."""
     rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.sum(F.floor("l_quantity")).alias("y"), F.avg("l_discount").alias("x1"), F.avg("l_tax").alias("x2"), F.avg("l_extendedprice").alias("x3"), (F.min("l_partkey") % 7).cast("double").alias("x4"))
     rows = rows.select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "y", (F.col("l_linenumber") <= 3).cast("string").alias("c"), (F.col("x1") * 20).alias("x1"), (F.col("x2") * 20).alias("x2"), (F.col("x3") / 50000).alias("x3"), "x4")
-    rows = rows.withColumn("unit", F.concat_ws(":", "l_suppkey", "c"))
-    rows = weighted.fitted_rates(rows, "unit", ["x1"], "y", "mu", 1.0, 6).withColumn("left", (F.col("y") - F.col("mu")) / F.sqrt("mu"))
-    out = reliability.crossed(rows, "l_suppkey", "c", ["x2", "x3", "x4"], "left", "id", 50, 50, reliability.Fits("gaussian", (1.0, 10.0, 100.0)), 50)
+    out = reliability.crossed(rows, "l_suppkey", "c", ["x2", "x3", "x4"], "y", "id", 50, 50, reliability.Fits("gaussian", (1.0, 10.0, 100.0)), 50, ("x1",), 6)
     return out.select("unit", "a", "b", "n_a", "n_b", *(F.round(c, 4).alias(c) for c in ("r_cross", "p", "half_a", "half_b", "ceiling", "ceiling_low", "ceiling_high")))
 
 
