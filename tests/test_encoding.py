@@ -100,3 +100,37 @@ def test_effective_freedom_and_its_estimate(spark):
     assert W.effective_freedom(df.filter("false"), "u", ["c"], None, 1.0).collect() == []
     alone = W.effective_freedom(df, "u", ["c"], None, 0.0, 8).collect()
     assert all(abs(r.exact - 1) < 1e-9 and abs(r.estimated - 1) < 1e-9 for r in alone)
+
+
+def test_units_together_are_as_each_alone():
+    frames = [unit(n, k, 0.4) for k, n in enumerate((80, 61, 60, 33))]
+    frames[3]["_f"] = np.arange(33) * 3 // 33  # three folds beside four
+    frames[1]["c"] = 1.0
+    own = [E.Unit(f, ["a", "b", "c"]) for f in frames]
+    lags = [np.array([0, 7, len(u.y) - 5]) for u in own]
+    some = E.Units(own)
+    for grid in (None, (0.1, 1.0, 10.0)):
+        for u, got in zip(own, some.chosen(grid), strict=True):
+            assert np.allclose(got, u.chosen(grid), rtol=1e-9)
+    alphas = [np.linspace(0.01, 3, len(u.folds)) for u in own]
+    for u, a, at, got, w in zip(own, alphas, lags, some.likelihood(alphas, lags), some.coefficients(np.ones(4)), strict=True):
+        assert np.allclose(got, u.likelihood(a, at.tolist()), rtol=1e-9)
+        assert np.allclose(w, E.quasi_ridges(u.sets(np.ones((1, len(u.y)))), np.ones(1))[0], atol=1e-7)
+
+
+def test_shared_fits_are_at_rest_where_steps_overshoot(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(2, 30, 2)) * 3, np.zeros((2, 5, 30))
+    y[:, :, :2] = 400.0
+    use = (rng.random((2, 5, 30)) < 0.8).astype(float)
+    use[0, 0] = 0
+    alpha = np.full((2, 5), 1e-5)
+    whole = E.shared_ridges(x, y, np.zeros(y.shape), use, alpha)
+    for u in range(2):
+        sets = E.Sets(np.broadcast_to(x[u], (5, 30, 2)), y[u], np.zeros((5, 30)), use[u])
+        alone = E.quasi_ridges(sets, alpha[u])
+        loss = [(use[u] * (np.exp(e) - y[u] * e)).sum(1) + 0.5 * alpha[u] * (w[:, 1:] ** 2).sum(1) for w in (whole[u], alone) for e in [np.clip(w[:, 1:] @ x[u].T + w[:, :1], -20, 20)]]
+        assert np.isfinite(whole[u]).all() and (loss[0] <= loss[1] + 1e-6 * (1 + np.abs(loss[1]))).all()
+    monkeypatch.setattr(E, "CHUNK", 40)
+    u = E.Unit(unit(40), ["a", "b", "c"])
+    assert np.allclose(E.Units([u]).likelihood([np.ones(4)], [np.array([0, 3])])[0], u.likelihood(np.ones(4), [0, 3]), rtol=1e-9)
