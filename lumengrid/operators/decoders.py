@@ -13,18 +13,20 @@ Defined results: rows with a null label, fold, unit or feature are left out; a f
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .digests import leading_ten
 from .quasi import minimise
-from .tables import share_package
+from .tables import share_package, starts_of
 
 
 @dataclass(frozen=True)
@@ -333,12 +335,115 @@ def hash_permutations(keys: list[str], seeds: list[str]) -> list[np.ndarray]:
     return [np.lexsort((low[i], high[i])) if same[i] else order[i] for i in range(len(starts))]
 
 
-def cross_decode(rows: DataFrame, unit: str, label: str, features: str, condition: str, fold: str, order: str, models: tuple[Model, ...] = MODELS, permutations: int = 0, chunk: int = 20) -> DataFrame:
+#: Rows of a condition of a unit beyond which they are not put in order in one task; rows in a task's memory, and in a stretch of digests.
+_WINDOW, _HELD, _STRETCH = 20_000, 1 << 18, 1 << 17
+
+
+def _shuffled_cells(laid: DataFrame, permutations: int, chunk: int, most: int) -> DataFrame:
+    """Counts ``(unit, q, c, x, y, t)`` of features that meet labels in hash order, for cells (conditions of a unit) of any size.
+
+    ``laid`` has ranges of ``o`` as its partitions ``p``, each cell in order.  A cell's digests go to tasks in stretches of equal digests' width, as packed numbers; the sizes of all
+    stretches and of all runs of features say which features a stretch meets.  Inside a stretch digests are told apart by their next 64 bits (in all, two of a cell of ``n`` rows
+    are alike in one of 2^48 / n cells).
+    """
+    bits = min(16, max(0, math.ceil(math.log2(most / _STRETCH))))
+    stretches = 1 << bits
+    cell = ["unit", "c"]
+
+    def held(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, pd.DataFrame]]:
+        """Runs of a cell's rows in order, by the number of what was held together."""
+        frames, n, s = [], 0, 0
+        for pdf in chain(parts, [None]):
+            if pdf is not None:
+                frames.append(pdf)
+                n += len(pdf)
+            if n and (pdf is None or n >= _HELD):
+                every = pd.concat(frames, ignore_index=True)
+                starts = starts_of(every["unit"].to_numpy(object), every["c"].to_numpy())
+                for i, j in zip(starts, [*starts[1:], n], strict=True):
+                    yield int(every["p"].iat[i]), s, every.iloc[i:j]
+                frames, n, s = [], 0, s + 1
+
+    def digests(run: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each permutation's digests behind the bits of their stretch, the rows in the order of their stretches, and the ends of these."""
+        keys = run["o"].tolist()
+        for first in range(0, permutations, chunk):
+            draws = range(first, min(first + chunk, permutations))
+            for q, high, low in zip(draws, *leading_ten(keys, [str(q) for q in draws]), strict=True):
+                at = (high >> np.uint64(48)).astype(np.uint16) >> np.uint16(16 - bits) if bits else np.zeros(len(high), np.uint16)
+                ends = np.cumsum(np.bincount(at, minlength=stretches))
+                yield q, np.argsort(at, kind="stable"), ends, high << np.uint64(bits) | (low.astype(np.uint64) >> np.uint64(16 - bits))
+
+    def measured(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, s, run in held(parts):
+            u, c = run["unit"].iat[0], run["c"].iat[0]
+            out = [(u, c, -1, p, s, len(run))]
+            for q, _, ends, _ in digests(run):
+                out += [(u, c, q, b, 0, n) for b, n in enumerate(np.diff(ends, prepend=0).tolist()) if n]
+            yield pd.DataFrame(out, columns=["unit", "c", "q", "b", "s", "n"])
+
+    def coded(values: list) -> tuple[np.ndarray, list]:
+        code, kinds = pd.factorize(np.array([*values, None], object)[:-1])
+        return code.astype(np.uint8 if len(kinds) <= 256 else np.uint32), list(kinds)
+
+    def runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p, s, run in held(parts):
+            code, kinds = coded([v.tobytes() for v in run["x"]])
+            yield pd.DataFrame({"unit": [run["unit"].iat[0]], "c": [run["c"].iat[0]], "p": [p], "s": [s], "codes": [code.tobytes()], "width": [code.itemsize], "xs": [[np.frombuffer(k) for k in kinds]]})
+
+    def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, run in held(parts):
+            code, kinds = coded(run["y"].tolist())
+            two = len(kinds) <= 2
+            for q, rows, ends, digest in digests(run):
+                out, digest, own = [], digest[rows], code[rows]
+                for b, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                    if j > i:
+                        out.append((q, b, digest[i:j].tobytes(), (np.packbits(own[i:j]) if two else own[i:j]).tobytes(), 0 if two else own.itemsize))
+                yield pd.DataFrame(out, columns=["q", "b", "digests", "codes", "width"]).assign(unit=run["unit"].iat[0], c=run["c"].iat[0], ys=[kinds] * len(out))
+
+    def together(kinds: dict, part: pd.DataFrame, names: str, key: Callable, sizes: list) -> np.ndarray:
+        out = []
+        for codes, width, own, n in zip(part["codes"], part["width"], part[names], sizes, strict=True):
+            numbers = np.array([kinds.setdefault(key(k), len(kinds)) for k in own], np.int64)
+            out.append(numbers[np.unpackbits(np.frombuffer(codes, np.uint8), count=n) if width == 0 else np.frombuffer(codes, np.uint8 if width == 1 else np.uint32)])
+        return np.concatenate(out)
+
+    def met(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        moved = pdf["digests"].notna()
+        still, moved, x_kinds, y_kinds = pdf[~moved].sort_values("at"), pdf[moved], {}, {}
+        x = together(x_kinds, still, "xs", lambda k: np.asarray(k, float).tobytes(), [0] * len(still))
+        y = together(y_kinds, moved, "ys", str, [len(v) // 8 for v in moved["digests"]])
+        digests = np.frombuffer(b"".join(moved["digests"]), np.uint64)
+        order = np.argsort(digests)
+        if (np.diff(digests[order]) == 0).any():
+            order = np.lexsort((y, digests))
+        times = np.bincount(x * len(y_kinds) + y[order], minlength=len(x_kinds) * len(y_kinds)).reshape(len(x_kinds), -1)
+        xs, ys = list(x_kinds), list(y_kinds)
+        return pd.DataFrame([(key[0], key[2], key[1], np.frombuffer(xs[i]), ys[j], times[i, j]) for i, j in zip(*np.nonzero(times), strict=True)], columns=["unit", "q", "c", "x", "y", "t"])
+
+    own = laid.select("unit", "c", "p", F.col("o").cast("string").alias("o"), "x", "y")
+    sizes = own.select("unit", "c", "p", "o").mapInPandas(measured, "unit string, c int, q int, b int, s int, n long").groupBy("unit", "c", "q", "b", "s").agg(F.sum("n").alias("n"))
+    starts = sizes.withColumn("low", F.sum("n").over(Window.partitionBy("unit", "c", "q").orderBy("b", "s")) - F.col("n"))  # a row for each stretch or run of a cell
+    stretch = starts.filter("q >= 0").select("unit", "c", "q", "b", F.col("low").alias("from"), (F.col("low") + F.col("n")).alias("to"))
+    run = starts.filter("q < 0").select("unit", "c", F.col("b").alias("p"), "s", "low", (F.col("low") + F.col("n")).alias("high"))
+    cuts = stretch.join(run, cell).filter("from < high and low < to").select(
+        "unit", "c", "q", "b", "p", "s", F.greatest("from", "low").alias("at"), (F.greatest("from", "low") - F.col("low")).alias("skip"), (F.least("to", "high") - F.greatest("from", "low")).alias("take")
+    )
+    features = own.select("unit", "c", "p", "x").mapInPandas(runs, "unit string, c int, p int, s int, codes binary, width int, xs array<array<double>>").hint("merge").join(cuts, ["unit", "c", "p", "s"])
+    features = features.select("unit", "c", "q", "b", "at", F.expr("substring(codes, cast(skip * width + 1 as int), cast(take * width as int))").alias("codes"), "width", "xs")
+    moved = own.select("unit", "c", "p", "o", "y").mapInPandas(sent, "unit string, c int, q int, b int, digests binary, codes binary, width int, ys array<string>")
+    pieces = moved.unionByName(features, allowMissingColumns=True)
+    return pieces.groupBy("unit", "c", "q", "b").applyInPandas(met, "unit string, q int, c int, x array<double>, y string, t long").groupBy("unit", "q", "c", "x", "y").agg(F.sum("t").alias("t")).withColumn("f", F.lit(0))
+
+
+def cross_decode(rows: DataFrame, unit: str, label: str, features: str, condition: str, fold: str, order: str, models: tuple[Model, ...] = MODELS, permutations: int = 0, chunk: int = 20, window: int = _WINDOW) -> DataFrame:
     """Decoders trained in one condition (0 or 1) and tested in the other, both ways, beside their ceilings within each condition.
 
     A row for each unit and model: mean balanced accuracy across (``across``, ``from_0``, ``from_1``), ``ceiling_0`` and ``ceiling_1`` (mean over the condition's folds at the chosen
     grid point), the ``permutations`` tried and ``p`` with labels put in hash order within each condition, grid points kept.  Labels are put in
-    order by Spark, ``chunk`` permutations to a shuffle of the rows, and equal rows are counted before they are fitted.  A condition without two classes gives null scores.
+    order by Spark, ``chunk`` permutations to a shuffle of the rows (or, if a unit has more than ``window`` rows of a condition, in stretches of digests), and equal rows are counted before they are fitted.
+    A condition without two classes gives null scores.
     """
     names = {m.name: m for m in models}
 
@@ -393,10 +498,15 @@ def cross_decode(rows: DataFrame, unit: str, label: str, features: str, conditio
     own = _own(rows, unit=text(unit), y=text(label), x=F.col(features).cast("array<double>"), f=F.col(fold).cast("int"), c=F.col(condition).cast("int"), o=F.col(order))
     model = F.explode(F.array(*map(F.lit, names)))
     schema = "unit string, model string, n long, across double, from_0 double, from_1 double, ceiling_0 double, ceiling_1 double, points array<double>"
+    if permutations:
+        # rows lie in ranges of their order, once for all that is done with them
+        own = own.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o").sortWithinPartitions("unit", "c", "o").withColumn("p", F.spark_partition_id()).persist()
     real = _counted(own, "unit", "y", "x", "f", "c").withColumn("model", model).groupBy("unit", "model").applyInPandas(observed, schema).persist()  # one row a unit and model
     if not permutations:
         return real.drop("points").withColumn("permutations", F.lit(0)).withColumn("p", F.lit(None).cast("double"))
     fine = real.filter("across is not null").select("unit", "model", "across", "points")
-    tasks = reduce(DataFrame.unionByName, (drawn(own, first) for first in range(0, permutations, chunk))).join(fine, "unit")
+    most = own.groupBy("unit", "c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    placed = _shuffled_cells(own, permutations, chunk, most) if most > window else reduce(DataFrame.unionByName, (drawn(own, first) for first in range(0, permutations, chunk)))
+    tasks = placed.join(fine, "unit")
     null = tasks.groupBy("unit", "model", "q").applyInPandas(shuffled, "unit string, model string, more long").groupBy("unit", "model").agg(F.sum("more").alias("more"))
     return real.drop("points").join(null, ["unit", "model"], "left").withColumn("permutations", F.lit(permutations)).withColumn("p", (1 + F.col("more")) / F.lit(1 + permutations)).drop("more")

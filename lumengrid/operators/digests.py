@@ -18,8 +18,8 @@ _SINES = [int(v) for v in np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32)]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _digested(words: list, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First two words of the digests of ``n`` messages of one block, whose 16 words are arrays or, if all share them, numbers."""
+def _digested(words: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First three words of the digests of ``n`` messages of one block, whose 16 words are arrays or, if all share them, numbers."""
     a, b, c, d = (np.full(n, v, np.uint32) for v in _START)
     t, u = np.empty(n, np.uint32), np.empty(n, np.uint32)
     for i in range(64):
@@ -52,7 +52,8 @@ def _digested(words: list, n: int) -> tuple[np.ndarray, np.ndarray]:
         a, b, c, d, t = d, t, b, c, a
     a += np.uint32(_START[0])
     b += np.uint32(_START[1])
-    return a, b
+    c += np.uint32(_START[2])
+    return a, b, c
 
 
 def _laid(keys: list[bytes], at: int) -> list:
@@ -70,14 +71,20 @@ def _laid(keys: list[bytes], at: int) -> list:
 
 def leading(keys: list[str], seeds: list[str]) -> np.ndarray:
     """The first eight bytes of the digests of ``seed:key`` as numbers in their order, ``(seed, key)``."""
+    return leading_ten(keys, seeds)[0]
+
+
+def leading_ten(keys: list[str], seeds: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`leading`, and the two bytes after these."""
     coded, starts = [k.encode() for k in keys], [f"{s}:".encode() for s in seeds]
-    out = np.empty((len(starts), len(coded)), np.uint64)
+    out, more = np.empty((len(starts), len(coded)), np.uint64), np.empty((len(starts), len(coded)), np.uint16)
     if not coded or not starts:
-        return out
+        return out, more
     if max(map(len, coded)) + max(map(len, starts)) > 55:
         for i, s in enumerate(starts):
-            out[i] = [int.from_bytes(hashlib.md5(s + k).digest()[:8], "big") for k in coded]
-        return out
+            digests = [hashlib.md5(s + k).digest() for k in coded]
+            out[i], more[i] = [int.from_bytes(d[:8], "big") for d in digests], [int.from_bytes(d[8:10], "big") for d in digests]
+        return out, more
     for low in range(0, len(coded), SLICE):
         part = coded[low : low + SLICE]
         for length in sorted({len(s) for s in starts}):
@@ -85,9 +92,10 @@ def leading(keys: list[str], seeds: list[str]) -> np.ndarray:
             for i in (i for i, s in enumerate(starts) if len(s) == length):
                 first = np.frombuffer(starts[i] + bytes(-length % 4), "<u4").tolist()
                 words = [w + f if isinstance(w, int) else w + np.uint32(f) for w, f in zip(shared, first)] + shared[len(first) :]
-                pair = np.stack(_digested(words, len(part)), 1).astype("<u4")
-                out[i, low : low + len(part)] = pair.view(">u8")[:, 0]
-    return out
+                a, b, c = _digested(words, len(part))
+                out[i, low : low + len(part)] = np.stack([a, b], 1).astype("<u4").view(">u8")[:, 0]
+                more[i, low : low + len(part)] = (c & np.uint32(0xFFFF)).astype("<u2").view(">u2")
+    return out, more
 
 
 def ordered(high: np.ndarray, exact: Callable[[int], np.ndarray]) -> np.ndarray:

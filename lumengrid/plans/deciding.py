@@ -54,7 +54,7 @@ _RATE = "n1 / sum(n1) over (partition by u, q, c) > n0 / sum(n0) over (partition
  round((1 + (select count(*) from w n where n.u = w.u and n.q > 0 and n.across >= w.across - 1e-12)) / 13.0, 6) as p from w join ce using (u) where w.q = 0""")
 def c1_cross_condition_decoder(spark, d):
     """A fitted decoder trained on lines of one kind and tested on the other, both ways, with ceilings by folds within each and labels permuted within each (12 times); SQL has the decoder of one binary feature by counts."""
-    rows = table(spark, d, "lineitem").groupBy("l_linenumber", "l_orderkey").agg(F.min_by(F.struct("l_returnflag", "l_extendedprice", "l_quantity"), F.struct("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")).alias("r"))
+    rows = table(spark, d, "lineitem").groupBy("l_linenumber", "l_orderkey").agg(F.min(F.struct("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag")).alias("r"))
     rows = rows.select(
         "l_linenumber", "l_orderkey", (F.col("r.l_returnflag") == "R").cast("int").alias("c"), (F.col("r.l_extendedprice") > 30000).cast("int").alias("y"), F.array((F.col("r.l_quantity") > 25).cast("double")).alias("x"), _fold(3, "f1", "l_orderkey").alias("f")
     )

@@ -125,3 +125,24 @@ def test_equal_rows_are_counted_before_they_reach_a_task(spark):
     assert plain["n_train"].tolist() == counted["n_train"].tolist() and np.allclose(plain["balanced"].tolist(), counted["balanced"].tolist())
     assert np.allclose(np.stack(plain["coefficients"]), np.stack(counted["coefficients"]), atol=1e-5)
     assert D._counted(D._own(rows, unit=rows.u, y=rows.y.cast("string"), x=rows.x, f=rows.f), "unit", "y", "x", "f").count() <= 12
+
+
+def test_large_cells_are_put_in_order_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(D, "_STRETCH", 100)
+    monkeypatch.setattr(D, "_HELD", 250)
+    rng = np.random.default_rng(7)
+    n = 1800
+    pdf = pd.DataFrame({"unit": rng.integers(0, 2, n).astype(str), "c": rng.integers(0, 2, n), "o": rng.permutation(n) * 3, "y": rng.integers(0, 3, n).astype(str), "x": [[float(v), float(v > 1)] for v in rng.integers(0, 4, n)]})
+    rows = spark.createDataFrame(pdf).selectExpr("unit", "cast(c as int) as c", "o", "y", "x")
+    laid = rows.repartitionByRange(3, "o").sortWithinPartitions("unit", "c", "o").selectExpr("*", "spark_partition_id() as p").persist()
+    got = {(r.unit, r.q, r.c, tuple(r.x), r.y): r.t for r in D._shuffled_cells(laid, 3, 2, n // 4).collect()}
+    want = {}
+    for (unit, c), cell in pdf.sort_values("o").groupby(["unit", "c"]):
+        for q in range(3):
+            order = D.hash_permutation([str(o) for o in cell["o"]], str(q))
+            for x, y in zip(cell["x"], cell["y"].to_numpy()[order], strict=True):
+                key = (unit, q, c, tuple(x), y)
+                want[key] = want.get(key, 0) + 1
+    assert got == want
+    whole, cut = (D.cross_decode(rows.selectExpr("*", "cast(o % 3 as int) as f"), "unit", "y", "x", "c", "f", "o", (D.Model("free", "free"),), permutations=3, chunk=2, window=w).toPandas().sort_values("unit").reset_index(drop=True) for w in (10**6, 10))
+    pd.testing.assert_frame_equal(whole, cut)
